@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .media import op5_media
 from .mixing import op7_mix
+from .neardup import op8_neardup
 from .packing import op3_pack
 from .sharding import op1_shards
+from .toxicity import op6_toxicity
 
-QUERIES = {"op1_shards": op1_shards, "op3_pack": op3_pack, "op7_mix": op7_mix}
+QUERIES = {"op1_shards": op1_shards, "op3_pack": op3_pack, "op5_media": op5_media, "op6_toxicity": op6_toxicity, "op7_mix": op7_mix, "op8_neardup": op8_neardup}
 ORACLE_SQL: dict[str, str] = {}
