@@ -246,9 +246,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
     return rows.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
 
 
-def clean(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """docs without those predicted toxic; columns unchanged. One pass, no join: the texts are judged where they lie."""
-    model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, learnable, examples))
+def clean(docs: DataFrame, labelled: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """docs without those predicted toxic, by a model learned from the texts of `labelled`; columns unchanged. One
+    pass, no join: the texts are judged where they lie. Null and empty texts stay."""
+    model = docs.sparkSession.sparkContext.broadcast(learned(labelled, labels, learnable, examples))
     return docs.mapInArrow(lambda batches: passed(batches, model), docs.schema)
 
 
