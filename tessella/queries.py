@@ -2,5 +2,498 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import samples as S
+from .operators import bench, indexes, kernels, layout, lifting
+from .plans.series import SeriesSpec, codec_series
+from .types import AxisTransform, InvalidArgument, Unsupported
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# signals: one per user, in order of time
+
+SIGNAL = """
+sig AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos,
+               CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS n, CAST(floor(value * 100) AS BIGINT) AS x FROM events)"""
+
+
+def events_signal(spark, sf_dir: str) -> DataFrame:
+    return lifting.signal(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.floor(F.col("value") * 100).cast("long"))
+
+
+def _haar(src: str, keys: str, out: str) -> str:
+    w = f"OVER (PARTITION BY {keys} ORDER BY pos)"
+    return f"""{out} AS (SELECT * EXCLUDE (x, a, b), CASE WHEN k % 2 = 0 THEN CASE WHEN a IS NULL THEN x ELSE x + ((a - x) >> 1) END ELSE x - b END AS x
+      FROM (SELECT *, lead(x) {w} AS a, lag(x) {w} AS b FROM {src}))"""
+
+
+def _lift53(src: str, keys: str, out: str, bias: int = 1, order: str = "pos") -> str:
+    w = f"OVER (PARTITION BY {keys} ORDER BY {order})"
+    return f"""{out}_p AS (SELECT * EXCLUDE (x, a, b), CASE WHEN k % 2 = 1 THEN x - ((b + coalesce(a, b) + {bias}) >> 1) ELSE x END AS x
+      FROM (SELECT *, lead(x) {w} AS a, lag(x) {w} AS b FROM {src})),
+    {out} AS (SELECT * EXCLUDE (x, a, b), CASE WHEN k % 2 = 0 AND coalesce(a, b) IS NOT NULL THEN x + ((coalesce(b, a) + coalesce(a, b) + 2) >> 2) ELSE x END AS x
+      FROM (SELECT *, lead(x) {w} AS a, lag(x) {w} AS b FROM {out}_p))"""
+
+
+@query(f"WITH {SIGNAL} SELECT * FROM sig")
+def signal_events(spark, sf_dir):
+    return events_signal(spark, sf_dir)
+
+
+@query(f"WITH {SIGNAL} SELECT user_id, pos, n, x - coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY pos), 0) AS x FROM sig")
+def delta_fwd(spark, sf_dir):
+    return lifting.forward(events_signal(spark, sf_dir), ["user_id"], "delta")
+
+
+@query(f"WITH {SIGNAL} SELECT * FROM sig")
+def delta_inv(spark, sf_dir):
+    s = lifting.forward(events_signal(spark, sf_dir), ["user_id"], "delta", group=16)
+    return lifting.inverse(s, ["user_id"], "delta", group=16)
+
+
+@query(f"WITH {SIGNAL}, d AS (SELECT user_id, pos, n, x - coalesce(lag(x) OVER (PARTITION BY user_id ORDER BY pos), 0) AS x FROM sig) SELECT user_id, pos, n, ((x % 65536) + 65536) % 65536 AS x FROM d")
+def delta_mod16(spark, sf_dir):
+    return lifting.modular_delta(events_signal(spark, sf_dir), ["user_id"], 16)
+
+
+@query(f"WITH {SIGNAL} SELECT user_id, pos, n, ((x % 65536) + 65536) % 65536 AS x FROM sig")
+def delta_mod16_inv(spark, sf_dir):
+    return lifting.modular_sum(lifting.modular_delta(events_signal(spark, sf_dir), ["user_id"], 16), ["user_id"], 16)
+
+
+@query(f"WITH {SIGNAL}, s AS (SELECT *, pos AS k FROM sig), {_lift53('s', 'user_id', 't')} SELECT user_id, CASE WHEN k % 2 = 0 THEN k // 2 ELSE (n + 1) // 2 + k // 2 END AS pos, n, x FROM t")
+def lift53_level(spark, sf_dir):
+    return lifting.forward(events_signal(spark, sf_dir), ["user_id"], "lift53")
+
+
+@query(f"""WITH {SIGNAL}, s AS (SELECT *, pos AS k FROM sig), {_lift53('s', 'user_id', 't')},
+  l AS (SELECT user_id, pos, n, x, k // 2 AS k FROM t WHERE k % 2 = 0), {_lift53('l', 'user_id', 'u')}
+  SELECT user_id, CASE WHEN k % 2 = 0 THEN k // 2 ELSE ((n + 1) // 2 + 1) // 2 + k // 2 END AS pos, n, x FROM u
+  UNION ALL SELECT user_id, (n + 1) // 2 + k // 2, n, x FROM t WHERE k % 2 = 1""")
+def lift53_2level(spark, sf_dir):
+    return lifting.forward(events_signal(spark, sf_dir), ["user_id"], "lift53", 2)
+
+
+@query(f"WITH {SIGNAL} SELECT * FROM sig")
+def lift53_inv(spark, sf_dir):
+    return lifting.inverse(lifting.forward(events_signal(spark, sf_dir), ["user_id"], "lift53", 2), ["user_id"], "lift53", 2)
+
+
+@query(f"WITH {SIGNAL}, s AS (SELECT *, pos AS k FROM sig), {_haar('s', 'user_id', 't')} SELECT user_id, CASE WHEN k % 2 = 0 THEN k // 2 ELSE (n + 1) // 2 + k // 2 END AS pos, n, x FROM t")
+def haar_level(spark, sf_dir):
+    return lifting.forward(events_signal(spark, sf_dir), ["user_id"], "haar")
+
+
+@query(f"WITH {SIGNAL} SELECT * FROM sig")
+def haar_inv(spark, sf_dir):
+    return lifting.inverse(lifting.forward(events_signal(spark, sf_dir), ["user_id"], "haar", 3, 16), ["user_id"], "haar", 3, 16)
+
+
+# planes: an embedding is an 8 x 8 plane, vec_id the z axis
+
+CELLS = """
+cells AS (SELECT vec_id, CAST(i // 8 AS INTEGER) AS "row", CAST(i % 8 AS INTEGER) AS col, CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 1000) AS BIGINT) AS x
+          FROM embeddings, range(64) r(i))"""
+
+
+def plane_rows(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("long")).alias("values"))
+
+
+def cells_of(spark, sf_dir: str) -> DataFrame:
+    return layout.cells(plane_rows(spark, sf_dir), ["vec_id"], "values", [8, 8], ["row", "col"])
+
+
+@query(f"WITH {CELLS} SELECT * FROM cells")
+def plane_cells(spark, sf_dir):
+    return cells_of(spark, sf_dir)
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000) AS BIGINT)) AS v FROM embeddings".replace("SELECT vec_id, list", "SELECT vec_id, list_sum(list").replace("AS BIGINT)) AS v", "AS BIGINT)))::BIGINT AS total"))
+def cells_to_chunks(spark, sf_dir):
+    back = layout.chunked(cells_of(spark, sf_dir), ["vec_id"], ["row", "col"], [8, 8])
+    return back.select("vec_id", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@query(f'WITH {CELLS} SELECT vec_id, col AS a0, "row" AS a1, x FROM cells')
+def transpose_cells(spark, sf_dir):
+    return layout.transposed(cells_of(spark, sf_dir).withColumnsRenamed({"row": "a0", "col": "a1"}), ["a0", "a1"], [1, 0]).select("vec_id", "a0", "a1", "x")
+
+
+@query(f'WITH {CELLS} SELECT vec_id, CAST(("row" * 8 + col) // 16 AS INTEGER) AS a, CAST(("row" * 8 + col) // 4 % 4 AS INTEGER) AS b, CAST(("row" * 8 + col) % 4 AS INTEGER) AS c, x FROM cells')
+def reshape_cells(spark, sf_dir):
+    return layout.reshaped(cells_of(spark, sf_dir), ["row", "col"], [8, 8], ["a", "b", "c"], [4, 4, 4]).select("vec_id", "a", "b", "c", "x")
+
+
+@query(f"""WITH {CELLS}, s AS (SELECT *, vec_id AS pos, vec_id // 8 AS seg, vec_id % 8 AS k, count(*) OVER (PARTITION BY "row", col, vec_id // 8) AS n FROM cells), {_haar('s', '"row", col, seg', 't')}
+  SELECT seg * 8 + CASE WHEN k % 2 = 0 THEN k // 2 ELSE (n + 1) // 2 + k // 2 END AS vec_id, "row", col, x FROM t""")
+def haar_z_group8(spark, sf_dir):
+    return lifting.forward(cells_of(spark, sf_dir), ["row", "col"], "haar", 1, 8, "vec_id")
+
+
+@query(f"""WITH {CELLS}, s AS (SELECT *, col AS pos, col AS k FROM cells), {_lift53('s', 'vec_id, "row"', 't')}
+  SELECT vec_id, CAST(sum(x) AS BIGINT) AS total, CAST(max(x) AS BIGINT) AS most FROM t GROUP BY vec_id""")
+def lift_kernel(spark, sf_dir):
+    made = kernels.transformed(plane_rows(spark, sf_dir), [AxisTransform("x", 1, "lift53", 1)], [8, 8])
+    return made.select("vec_id", F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.array_max("values").alias("most"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000) AS BIGINT)) AS values FROM embeddings".replace("list_transform", "array_to_string(list_transform").replace(" AS values", ", ',') AS flat"))
+def lift_kernel_inv(spark, sf_dir):
+    steps = [AxisTransform("y", 0, "haar", 2), AxisTransform("x", 1, "lift53", 2), AxisTransform("y", 0, "delta", 0, 4)]
+    there = kernels.transformed(plane_rows(spark, sf_dir), steps, [8, 8])
+    return kernels.transformed(there, steps, [8, 8], back=True).select("vec_id", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("flat"))
+
+
+def _dwt(select: str) -> str:
+    first = _lift53("s", "vec_id, col", "v", 0, '"row"')
+    second = _lift53("h0", 'vec_id, "row"', "h", 0, "col")
+    return f"""WITH {CELLS}, s AS (SELECT *, "row" AS k FROM cells), {first}, h0 AS (SELECT * REPLACE (col AS k) FROM v), {second} {select}"""
+
+
+@query(_dwt('SELECT vec_id, "row", col, x FROM h'))
+def dwt53_2d(spark, sf_dir):
+    return lifting.dwt53(cells_of(spark, sf_dir), ["vec_id"])
+
+
+@query(f"WITH {CELLS} SELECT * FROM cells")
+def dwt53_2d_inv(spark, sf_dir):
+    return lifting.idwt53(lifting.dwt53(cells_of(spark, sf_dir), ["vec_id"], 2), ["vec_id"], 2)
+
+
+@query(_dwt('SELECT vec_id, CAST("row" // 2 AS INTEGER) AS "row", CAST(col // 2 AS INTEGER) AS col, x AS coef FROM h WHERE "row" % 2 = 0 AND col % 2 = 0'))
+def thumbnail_ll(spark, sf_dir):
+    low = lifting.dwt53(cells_of(spark, sf_dir), ["vec_id"]).where("row % 2 = 0 and col % 2 = 0")
+    return low.select("vec_id", F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col"), F.col("x").alias("coef"))
+
+
+@query(None)
+def dwt97_roundtrip(spark, sf_dir):
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for v in batch.column("values").to_pylist():
+                plane = np.array(v, np.float32).reshape(8, 8)
+                out.append(float(np.abs(kernels.dwt97(kernels.dwt97(plane), back=True) - plane).max()))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([e < 0.05 for e in out], pa.bool_())], names=["vec_id", "restored"])
+
+    return plane_rows(spark, sf_dir).mapInArrow(run, "vec_id long, restored boolean")
+
+
+@query(f'WITH {CELLS}, e AS (SELECT *, count(*) OVER (PARTITION BY "row", col) AS n FROM cells) SELECT vec_id, "row", col, x FROM e WHERE vec_id % 8 < (least(8, n - vec_id // 8 * 8) + 3) // 4')
+def low_pass(spark, sf_dir):
+    cells = cells_of(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("row", "col")))
+    return cells.where(lifting.low_pass(F.col("vec_id"), "haar", 2, 8, F.col("n"))).drop("n")
+
+
+@query(f'WITH {CELLS} SELECT vec_id, CAST("row" // 4 AS BIGINT) AS by, CAST(col // 4 AS BIGINT) AS bx, min(x) AS low, max(x) AS high, CAST(sum(abs(x)) AS BIGINT) AS energy FROM cells GROUP BY ALL')
+def brick_stats(spark, sf_dir):
+    return cells_of(spark, sf_dir).groupBy("vec_id", F.floor(F.col("row") / 4).alias("by"), F.floor(F.col("col") / 4).alias("bx")).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.sum(F.abs("x")).alias("energy"))
+
+
+@query(f'WITH {CELLS} SELECT * FROM cells WHERE vec_id BETWEEN 10 AND 41 AND "row" BETWEEN 2 AND 5 AND col BETWEEN 1 AND 3')
+def subset_box(spark, sf_dir):
+    return cells_of(spark, sf_dir).where(layout.box(["vec_id", "row", "col"], [10, 2, 1], [32, 4, 3]))
+
+
+@query("""SELECT DISTINCT z // 4 AS bz, y // 4 AS by, x // 4 AS bx,
+  (192 + ((z // 4 * 2 + y // 4) * 4 + x // 4) * 512) // 8 AS first, (192 + ((z // 4 * 2 + y // 4) * 4 + x // 4) * 512 + 511) // 8 AS last
+  FROM range(3, 9) a(z), range(2, 6) b(y), range(5, 13) c(x)""")
+def brick_ranges(spark, sf_dir):
+    grid = box_of(spark, {"z": (3, 9), "y": (2, 6), "x": (5, 13)})
+    bricks = grid.select(*(F.floor(F.col(a) / 4).alias(f"b{a}") for a in "zyx")).distinct()
+    first, last = indexes.brick_range([F.col("bz"), F.col("by"), F.col("bx")], [F.lit(3), F.lit(2), F.lit(4)], 8, 3, 192)
+    return bricks.select("bz", "by", "bx", first.alias("first"), last.alias("last"))
+
+
+def box_of(spark, extents: dict[str, tuple[int, int]]) -> DataFrame:
+    """Every coordinate of a box."""
+    out = spark.range(1)
+    for name, (a, b) in extents.items():
+        out = out.withColumn(name, F.explode(F.sequence(F.lit(a).cast("long"), F.lit(b - 1).cast("long"))))
+    return out.drop("id")
+
+
+@query(f'WITH {CELLS} SELECT vec_id, "row", CAST(max(abs(x)) AS BIGINT) AS most FROM cells GROUP BY ALL HAVING max(abs(x)) >= 250')
+def significant_blocks(spark, sf_dir):
+    return cells_of(spark, sf_dir).groupBy("vec_id", "row").agg(F.max(F.abs("x")).alias("most")).where("most >= 250")
+
+
+@query(f"""WITH {CELLS}, g AS (SELECT DISTINCT e.vec_id, CAST(r.i AS INTEGER) AS "row", CAST(c.i AS INTEGER) AS col FROM embeddings e, range(8) r(i), range(8) c(i))
+  SELECT g.vec_id, g."row", g.col, coalesce(s.x, -1) AS x FROM g LEFT JOIN (SELECT * FROM cells WHERE vec_id % 3 <> 0) s USING (vec_id, "row", col)""")
+def fill_absent(spark, sf_dir):
+    cells = cells_of(spark, sf_dir)
+    return layout.filled(cells.select("vec_id", "row", "col"), cells.where("vec_id % 3 <> 0"), ["vec_id", "row", "col"], "x", -1)
+
+
+RECTS = [(0, 0, 0, 3, 3), (1, 2, 4, 6, 7), (2, 5, 0, 7, 2)]
+
+
+@query("""WITH rects(rect, y0, x0, y1, x1) AS (VALUES (0, 0, 0, 3, 3), (1, 2, 4, 6, 7), (2, 5, 0, 7, 2)), """ + CELLS.strip() + """
+  SELECT rect, vec_id, CAST(count(*) AS BIGINT) AS hits, CAST(sum(x) AS BIGINT) AS total FROM cells JOIN rects ON "row" BETWEEN y0 AND y1 AND col BETWEEN x0 AND x1 GROUP BY rect, vec_id""")
+def region_hits(spark, sf_dir):
+    rects = F.broadcast(spark.createDataFrame(RECTS, "rect int, y0 int, x0 int, y1 int, x1 int"))  # a request's rectangles
+    hit = F.col("row").between(F.col("y0"), F.col("y1")) & F.col("col").between(F.col("x0"), F.col("x1"))
+    return cells_of(spark, sf_dir).join(rects, hit).groupBy("rect", "vec_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("x").alias("total"))
+
+
+# sample arithmetic
+
+@query(f'WITH {CELLS} SELECT vec_id, "row", col, ((abs(x) % 256) - 128) << 23 AS wide, abs(x) % 256 AS back FROM cells'.replace("((abs(x) % 256) - 128) << 23", "((abs(x) % 256) - 128) * 8388608"))
+def zfp_promote(spark, sf_dir):
+    x = F.abs("x") % 256
+    return cells_of(spark, sf_dir).select("vec_id", "row", "col", S.promoted(x, "uint8").alias("wide"), S.demoted(S.promoted(x, "uint8"), "uint8").cast("long").alias("back"))
+
+
+@query(f'WITH {CELLS} SELECT vec_id, "row", col, CASE WHEN x < 0 THEN 2147483648 - x ELSE x END AS sm, x AS back FROM cells')
+def sign_magnitude(spark, sf_dir):
+    sm = S.sign_magnitude(F.col("x"))
+    return cells_of(spark, sf_dir).select("vec_id", "row", "col", sm.alias("sm"), S.from_sign_magnitude(sm).alias("back"))
+
+
+@query(f'WITH {CELLS} SELECT vec_id, "row", col, x - 128 AS shifted, least(greatest(x, 0), 255) AS restored FROM cells')
+def level_shift(spark, sf_dir):
+    v = S.level_shifted(F.col("x"), 8)
+    return cells_of(spark, sf_dir).select("vec_id", "row", "col", v.alias("shifted"), S.level_restored(v, 8).cast("long").alias("restored"))
+
+
+@query("WITH p AS (SELECT event_id, CAST(floor(value) AS BIGINT) AS y, event_id % 200 - 100 AS cb, user_id % 150 - 75 AS cr FROM events) SELECT event_id, cr + y - ((cb + cr) >> 2) AS r, y - ((cb + cr) >> 2) AS g, cb + y - ((cb + cr) >> 2) AS b FROM p")
+def inverse_rct(spark, sf_dir):
+    p = table(spark, sf_dir, "events").select("event_id", F.floor("value").cast("long").alias("y"), (F.col("event_id") % 200 - 100).alias("cb"), (F.col("user_id") % 150 - 75).alias("cr"))
+    r, g, b = S.rgb(F.col("y"), F.col("cb"), F.col("cr"))
+    return p.select("event_id", r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query(f"""WITH {CELLS}, m AS (SELECT vec_id, min(x) AS low, max(x) AS high FROM cells GROUP BY vec_id)
+  SELECT vec_id, low, high, CAST(greatest(1, CASE WHEN low < 0 THEN 1 + greatest(CASE WHEN -(low + 1) > 0 THEN length(bin(-(low + 1))) ELSE 0 END, CASE WHEN high > 0 THEN length(bin(high)) ELSE 0 END)
+    ELSE CASE WHEN high > 0 THEN length(bin(high)) ELSE 0 END END) AS INTEGER) AS depth FROM m""")
+def depth_for(spark, sf_dir):
+    m = cells_of(spark, sf_dir).groupBy("vec_id").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return m.withColumn("depth", layout.bit_depth(F.col("low"), F.col("high")))
+
+
+# byte indexes and plans
+
+@query("""WITH r AS (SELECT user_id, event_id * 7 % 5000 AS s, event_id * 7 % 5000 + CAST(floor(value) AS BIGINT) AS e FROM events),
+  m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+  SELECT user_id, min(s) AS start, max(e) AS "end" FROM i GROUP BY user_id, island""")
+def coalesce_ranges(spark, sf_dir):
+    at = F.col("event_id") * 7 % 5000
+    return indexes.coalesced(table(spark, sf_dir, "events").select("user_id", at.alias("start"), (at + F.floor("value").cast("long")).alias("end")), ["user_id"])
+
+
+PACKETS = """
+packets AS (SELECT l_orderkey, CAST(l_linenumber AS INTEGER) % 3 AS res, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS len FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem)),
+idx AS (SELECT *, CAST(coalesce(sum(len) OVER (PARTITION BY l_orderkey ORDER BY res, l_linenumber, l_partkey, l_suppkey, len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + 116 AS "offset" FROM packets)"""
+
+
+def packets_of(spark, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").distinct()
+    rows = rows.select("l_orderkey", (F.col("l_linenumber").cast("int") % 3).alias("res"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("len"))
+    return indexes.packet_index(rows, ["l_orderkey"], ["res", "l_linenumber", "l_partkey", "l_suppkey", "len"], "len", F.lit(116))
+
+
+@query(f'WITH {PACKETS} SELECT l_orderkey, res, l_linenumber, l_partkey, l_suppkey, len, "offset" FROM idx')
+def packet_index(spark, sf_dir):
+    return packets_of(spark, sf_dir)
+
+
+@query(f'WITH {PACKETS}, e AS (SELECT l_orderkey, res, max("offset" + len) AS e FROM idx GROUP BY ALL) SELECT l_orderkey, res, max(e) OVER (PARTITION BY l_orderkey ORDER BY res) AS prefix FROM e')
+def plane_prefix(spark, sf_dir):
+    return indexes.prefixes(packets_of(spark, sf_dir), ["l_orderkey"])
+
+
+@query(f"""WITH {PACKETS}, e AS (SELECT l_orderkey, res, max("offset" + len) AS e FROM idx GROUP BY ALL), p AS (SELECT l_orderkey, res, max(e) OVER (PARTITION BY l_orderkey ORDER BY res) AS prefix FROM e)
+  SELECT l_orderkey, coalesce(max(res) FILTER (WHERE prefix <= 180), -1) AS covered FROM p GROUP BY l_orderkey""")
+def covered_resolution(spark, sf_dir):
+    return indexes.prefixes(packets_of(spark, sf_dir), ["l_orderkey"]).groupBy("l_orderkey").agg(F.coalesce(F.max(F.when(F.col("prefix") <= 180, F.col("res"))), F.lit(-1)).alias("covered"))
+
+
+@query(f"""WITH {PACKETS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, len, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY res, l_suppkey, l_partkey, l_linenumber, len) AS INTEGER) AS rpcl,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, res, len) AS INTEGER) AS cprl FROM idx""")
+def packet_sequence(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey")
+    tail = ["l_suppkey", "l_partkey"]
+    return packets_of(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "len", F.row_number().over(w.orderBy("res", *tail, "l_linenumber", "len")).alias("rpcl"), F.row_number().over(w.orderBy("l_linenumber", *tail, "res", "len")).alias("cprl"))
+
+
+@query("""WITH d AS (SELECT p_partkey, p_size * 40 AS w, p_size * 24 + 7 AS h, 64 + p_partkey % 200 AS most FROM part), l AS (SELECT *, r, (w + (1 << (5 - r)) - 1) // (1 << (5 - r)) AS lw, (h + (1 << (5 - r)) - 1) // (1 << (5 - r)) AS lh FROM d, range(6) t(r))
+  SELECT p_partkey, CAST(coalesce(max(r) FILTER (WHERE greatest(lw, lh) <= most), 0) AS INTEGER) AS res FROM l GROUP BY p_partkey""")
+def resolution_for(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", indexes.resolution_for(F.col("p_size").cast("long") * 40, F.col("p_size").cast("long") * 24 + 7, 5, 64 + F.col("p_partkey") % 200).alias("res"))
+
+
+@query("""WITH d AS (SELECT p_partkey, CAST(p_size * 40 AS BIGINT) AS w, CAST(p_size * 24 + 7 AS BIGINT) AS h, CAST(r AS INTEGER) AS r FROM part, range(1, 6) t(r)), e AS (SELECT *, (w + (1 << (6 - r)) - 1) // (1 << (6 - r)) AS pw, (w + (1 << (5 - r)) - 1) // (1 << (5 - r)) AS lw, (h + (1 << (6 - r)) - 1) // (1 << (6 - r)) AS ph, (h + (1 << (5 - r)) - 1) // (1 << (5 - r)) AS lh FROM d)
+  SELECT p_partkey, r, 'HL' AS band, lw - pw AS bw, ph AS bh, CAST(ceil((lw - pw) / 64.0) * ceil(ph / 64.0) AS BIGINT) AS blocks FROM e
+  UNION ALL SELECT p_partkey, r, 'LH', pw, lh - ph, CAST(ceil(pw / 64.0) * ceil((lh - ph) / 64.0) AS BIGINT) FROM e
+  UNION ALL SELECT p_partkey, r, 'HH', lw - pw, lh - ph, CAST(ceil((lw - pw) / 64.0) * ceil((lh - ph) / 64.0) AS BIGINT) FROM e""")
+def band_blocks(spark, sf_dir):
+    d = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("long") * 40).alias("w"), (F.col("p_size").cast("long") * 24 + 7).alias("h"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("r"))
+    at = lambda c, k: indexes.level_extent(F.col(c), F.lit(k) - F.col("r"))
+    e = d.select("p_partkey", "r", at("w", 6).alias("pw"), at("w", 5).alias("lw"), at("h", 6).alias("ph"), at("h", 5).alias("lh"))
+    band = lambda n, w, h: F.struct(F.lit(n).alias("band"), w.alias("bw"), h.alias("bh"))
+    lw, lh = F.col("lw") - F.col("pw"), F.col("lh") - F.col("ph")
+    rows = e.select("p_partkey", "r", F.explode(F.array(band("HL", lw, F.col("ph")), band("LH", F.col("pw"), lh), band("HH", lw, lh))).alias("b")).select("p_partkey", "r", "b.*")
+    return rows.withColumn("blocks", (F.ceil(F.col("bw") / 64) * F.ceil(F.col("bh") / 64)).cast("long"))
+
+
+PLANES = """
+planes AS (SELECT o_custkey AS chunk, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS plane, CAST(floor(o_totalprice / 100) AS BIGINT) + 1 AS len FROM orders),
+pidx AS (SELECT *, CAST(116 + coalesce(sum(len) OVER (PARTITION BY chunk ORDER BY plane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM planes)"""
+MERGED = """m AS (SELECT *, max(e) OVER (PARTITION BY chunk ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chunk ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+  SELECT chunk, min(s) AS start, max(e) AS "end" FROM i GROUP BY chunk, island"""
+
+
+def planes_of(spark, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chunk"), (F.row_number().over(w) - 1).cast("long").alias("plane"), (F.floor(F.col("o_totalprice") / 100).cast("long") + 1).alias("len"))
+    return indexes.packet_index(rows, ["chunk"], ["plane"], "len", F.lit(116)).withColumn("header_len", F.lit(116))
+
+
+@query(f'WITH {PLANES}, r AS (SELECT DISTINCT chunk, 0::BIGINT AS s, 115::BIGINT AS e FROM pidx WHERE plane = 2 UNION ALL SELECT chunk, "offset", "offset" + len - 1 FROM pidx WHERE plane = 2), {MERGED}')
+def plan_plane(spark, sf_dir):
+    return indexes.plane_plan(planes_of(spark, sf_dir).where("plane = 2"), ["chunk"])
+
+
+@query(f'WITH {PLANES}, r AS (SELECT DISTINCT chunk, 0::BIGINT AS s, 115::BIGINT AS e FROM pidx WHERE plane = 0 UNION ALL SELECT chunk, "offset", "offset" + least(len, 300) - 1 FROM pidx WHERE plane = 0), {MERGED}')
+def plan_thumbnail(spark, sf_dir):
+    return indexes.plane_plan(planes_of(spark, sf_dir).where("plane = 0"), ["chunk"], length=F.least("len", F.lit(300)))
+
+
+@query(f"""WITH {PLANES}, e AS (SELECT *, count(*) OVER (PARTITION BY chunk) AS n FROM pidx), k AS (SELECT * FROM e WHERE plane < (n + 3) // 4),
+  r AS (SELECT DISTINCT chunk, 0::BIGINT AS s, 115::BIGINT AS e FROM k UNION ALL SELECT chunk, "offset", "offset" + least(len, 300) - 1 FROM k), {MERGED}""")
+def plan_thumbnail_3d(spark, sf_dir):
+    planes = planes_of(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("chunk")))
+    kept = planes.where(lifting.low_pass(F.col("plane"), "lift53", 2, 0, F.col("n")))
+    return indexes.plane_plan(kept, ["chunk"], length=F.least("len", F.lit(300)))
+
+
+@query(f"""WITH {PLANES}, f AS (SELECT o_custkey AS chunk, 200 + o_orderkey % 900 AS a, 260 + o_orderkey % 900 AS b FROM orders WHERE o_orderkey % 5 = 0)
+  SELECT DISTINCT f.chunk, a, b, plane FROM f JOIN pidx p ON f.chunk = p.chunk AND a >= "offset" AND b <= "offset" + len""")
+def plan_containment(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("chunk"), (200 + F.col("o_orderkey") % 900).alias("a"), (260 + F.col("o_orderkey") % 900).alias("b"))
+    return asked.join(planes_of(spark, sf_dir), "chunk").where((F.col("a") >= F.col("offset")) & (F.col("b") <= F.col("offset") + F.col("len"))).select("chunk", "a", "b", "plane").distinct()
+
+
+@query(f"""WITH {PLANES}, t AS (SELECT o_custkey AS chunk, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS plane, CAST(floor(o_totalprice / 100) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS told FROM orders)
+  SELECT chunk, CAST(sum(CASE WHEN told = len THEN 0 ELSE 1 END) AS BIGINT) AS wrong FROM t JOIN planes USING (chunk, plane) GROUP BY chunk""")
+def length_check(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    told = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chunk"), (F.row_number().over(w) - 1).cast("long").alias("plane"), (F.floor(F.col("o_totalprice") / 100).cast("long") + F.when(F.col("o_orderkey") % 7 == 0, 2).otherwise(1)).alias("told"))
+    return told.join(planes_of(spark, sf_dir), ["chunk", "plane"]).groupBy("chunk").agg(F.sum(F.when(F.col("told") == F.col("len"), 0).otherwise(1)).cast("long").alias("wrong"))
+
+
+@query(f"WITH {PLANES} SELECT chunk, CAST(sum(len) AS BIGINT) AS stored, round(sum(len) / (count(*) * 4096), 6) AS ratio FROM planes GROUP BY chunk")
+def stored_bytes(spark, sf_dir):
+    return planes_of(spark, sf_dir).groupBy("chunk").agg(F.sum("len").alias("stored"), F.round(F.try_divide(F.sum("len"), F.count(F.lit(1)) * 4096), 6).alias("ratio"))
+
+
+# measurements
+
+RECORD = """CAST(count(*) AS BIGINT) AS num_samples, CAST(floor(median(ns)) AS BIGINT) AS median_ns, min(ns) AS min_ns, max(ns) AS max_ns, stddev_pop(ns) AS sigma_ns, CAST(sum(ns) AS BIGINT) AS bytes_out, CAST(count(*) * 3000 AS BIGINT) AS bytes_in"""
+SAMPLES = "s AS (SELECT event_type AS config, user_id AS name, event_id, CAST(floor(value * 100) AS BIGINT) AS ns FROM events)"
+
+
+def bench_samples(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("config"), F.col("user_id").alias("name"), "event_id", F.floor(F.col("value") * 100).cast("long").alias("ns"))
+
+
+@query(f"WITH {SAMPLES} SELECT config, name, num_samples, median_ns, min_ns, max_ns, round(sigma_ns, 3) AS sigma_ns FROM (SELECT config, name, {RECORD} FROM s GROUP BY ALL)")
+def bench_record(spark, sf_dir):
+    return bench.records(bench_samples(spark, sf_dir), ["config", "name"], "ns").withColumn("sigma_ns", F.round("sigma_ns", 3))
+
+
+def bench_halves(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = bench_samples(spark, sf_dir)
+    sized = s.groupBy("config", "name", (F.col("event_id") % 2).alias("half")).agg(F.sum("ns").alias("bytes_out"), (F.count(F.lit(1)) * 3000).alias("bytes_in"))
+    made = [bench.records(s.where(F.col("event_id") % 2 == h), ["config", "name"], "ns").join(sized.where(F.col("half") == h).drop("half"), ["config", "name"]) for h in (0, 1)]
+    return made[0], made[1]
+
+
+DIFF = f"""WITH {SAMPLES}, c AS (SELECT config, name, {RECORD} FROM s WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT config, name, {RECORD} FROM s WHERE event_id % 2 = 1 GROUP BY ALL),
+  d AS (SELECT c.config, c.name, c.median_ns, b.median_ns AS baseline_median_ns,
+    coalesce(100 * (c.median_ns - b.median_ns) >= 10 * b.median_ns AND c.median_ns - b.median_ns > b.sigma_ns, false) AS time_regressed,
+    coalesce(c.bytes_out / c.bytes_in >= b.bytes_out / b.bytes_in * (1 + 2 / 100), false) AS ratio_regressed FROM c LEFT JOIN b USING (config, name))"""
+
+
+@query(DIFF + " SELECT * FROM d")
+def bench_diff(spark, sf_dir):
+    return bench.diff(*bench_halves(spark, sf_dir), ["config", "name"])
+
+
+@query(DIFF + " SELECT * FROM d WHERE time_regressed OR ratio_regressed")
+def bench_gate(spark, sf_dir):
+    return bench.gated(bench.diff(*bench_halves(spark, sf_dir), ["config", "name"]), "both")
+
+
+@query(f"WITH {SAMPLES} SELECT DISTINCT config, name FROM s WHERE contains(config, 'c') AND name % 2 = 0")
+def bench_filter(spark, sf_dir):
+    return bench_samples(spark, sf_dir).where(F.col("config").contains("c") & (F.col("name") % 2 == 0)).select("config", "name").distinct()
+
+
+# the planner
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_concat([0, 2], [CAST(p_size % 5 AS INTEGER)]), lambda d: d <> p_partkey % 3))), ',') AS dims FROM part")
+def decorrelation_set(spark, sf_dir):
+    usual = F.array(F.lit(0), F.lit(2))
+    dims = F.array_sort(F.array_except(F.array_union(usual, F.array((F.col("p_size") % 5).cast("int"))), F.array((F.col("p_partkey") % 3).cast("int"))))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(dims, lambda d: d.cast("string")), ",").alias("dims"))
+
+
+SERIES_CASES = [
+    {"axes": a, "chunk_shape": c, "dtype": t, "family": f, **o}
+    for a, c in ((["t", "c", "z", "y", "x"], [8, 1, 32, 256, 256]), (["t", "c", "z", "y", "x"], [1, 1, 1, 512, 512]), (["c", "z", "y", "x"], [3, 16, 256, 256]), (["x", "y", "z"], [256, 256, 32]), (["y", "x"], [512, 512]))
+    for f, t in (("nd-delta", "uint16"), ("nd-lift-ht", "int16"), ("nd-lift-ht", "float32"), ("nd-zfp", "float32"), ("nd-delta", "complex64"))
+    for o in ({}, {"lift": "haar"}, {"zfp_rate": 8.0})
+]
+
+
+@query(None)
+def series_plan(spark, sf_dir):
+    rows = []
+    for i, case in enumerate(SERIES_CASES):
+        try:
+            rows.append((i, json.dumps(case), json.dumps(codec_series(SeriesSpec.from_dict(case))), None))
+        except (InvalidArgument, Unsupported) as e:
+            rows.append((i, json.dumps(case), None, str(e)))
+    return spark.createDataFrame(rows, "case int, spec string, series string, refused string")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of each user's signal: energy in the approximation and in the details of two lifting levels."""
+    coefs = lifting.forward(events_signal(spark, sf_dir), ["user_id"], "lift53", 2)
+    approx = lifting.low_pass(F.col("pos"), "lift53", 2, 0, F.col("n"))
+    return coefs.groupBy("user_id").agg(F.max("n").alias("n"), F.sum(F.when(approx, F.abs("x")).otherwise(0)).alias("approximation"), F.sum(F.when(~approx, F.abs("x")).otherwise(0)).alias("detail"))
+
+
+@query(f"""WITH {SIGNAL}, s AS (SELECT *, pos AS k FROM sig), {_lift53('s', 'user_id', 't')},
+  l AS (SELECT user_id, pos, n, x, k // 2 AS k FROM t WHERE k % 2 = 0), {_lift53('l', 'user_id', 'u')}, o AS (
+  SELECT user_id, n, k % 2 = 0 AS low, x FROM u UNION ALL SELECT user_id, n, false, x FROM t WHERE k % 2 = 1)
+  SELECT user_id, max(n) AS n, CAST(sum(CASE WHEN low THEN abs(x) ELSE 0 END) AS BIGINT) AS approximation, CAST(sum(CASE WHEN low THEN 0 ELSE abs(x) END) AS BIGINT) AS detail FROM o GROUP BY user_id""")
+def signal_summary(spark, sf_dir):
+    return flagship(spark, sf_dir)
