@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,60 +18,83 @@ from .common import running, table, written
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-SLICE_BYTES = 4 << 20
-CACHED_WORDS = 400_000
-CACHED_BYTES = 48
+SLICE_BYTES = 12 << 20
+CACHED_WORDS = 700_000
 
 
 class Words:
     """Token ids of whole texts, word by word.
 
-    The tokenizer never joins text across white space and treats each piece between white space alone (its
-    normalizer composes no character with a preceding space, and its pattern drops white space), so a word's ids are
-    the same in any text. Arrow splits and numbers a slice's words; each different one is encoded once, and words
-    met before by this worker come from a bounded cache. Only ASCII white space separates words here, a subset of
-    what the tokenizer separates.
+    The tokenizer joins no text across white space and treats each piece between white space alone (its normalizer
+    composes no character with a space before it, and its pattern drops white space), so a word's ids are the same in
+    any text. Arrow splits and numbers a slice's words; only ASCII white space separates words here, a part of what
+    the tokenizer separates. A word is looked up as its body and the marks at its end: after a letter the pattern
+    takes marks as a piece of their own. The tokenizer lower-cases, so an ASCII body is looked up in lower case. Each
+    different body is encoded once; the first CACHED_WORDS that a worker meets, which hold the frequent ones, stay.
     """
 
+    MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def unique(self, words: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        got = [cache.get(w) for w in words]
-        new = [i for i, x in enumerate(got) if x is None]
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)):
-                got[i] = np.array(e.ids, np.int32)
-                if len(words[i]) <= CACHED_BYTES:
-                    cache[words[i]] = got[i]
-        if len(cache) > CACHED_WORDS:
-            for w in list(cache)[: len(cache) // 4]:  # the oldest; frequent words come back at once
-                del cache[w]
-        return got
+        self.known: dict[str, int] = {"": 0}
+        self.begin, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def learn(self, new: list[str]) -> None:
+        found = [e.ids for a in range(0, len(new), 20_000) for e in self.tokenizer.encode_batch_fast(new[a : a + 20_000], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        self.known.update(zip(new, range(len(self.begin), len(self.begin) + len(new))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+
+    def unique(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words one after the other, and how many each has."""
+        known, marks, before = self.known, self.MARKS, (len(self.begin), len(self.flat))
+        first, second = list(map(known.get, words)), np.zeros(len(words), np.int64)
+        unknown = [i for i, x in enumerate(first) if x is None]
+        bodies, ends = [], []
+        for i in unknown:
+            word = words[i]
+            body = word.rstrip(marks)
+            if not body or not body[-1].isalpha():
+                body = word
+            ends.append(word[len(body) :])
+            bodies.append(body.lower() if body.isascii() and "<" not in body else body)
+        new = list({*bodies, *ends} - known.keys()) if unknown else []
+        if new:
+            self.learn(new)
+        for i, body in zip(unknown, map(known.get, bodies)):
+            first[i] = body
+        second[unknown] = list(map(known.get, ends))
+        segments = np.stack([np.array(first, np.int64), second], axis=1).ravel()
+        ids = self.flat[ragged(self.begin[segments], self.size[segments])]
+        sizes = self.size[segments].reshape(-1, 2).sum(axis=1)
+        if len(known) > CACHED_WORDS:
+            for x in new:
+                del known[x]
+            self.begin, self.size, self.flat = self.begin[: before[0]], self.size[: before[0]], self.flat[: before[1]]
+        return ids, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each text's first place in them (with the end)."""
         split = pc.ascii_split_whitespace(texts)
-        if pa.types.is_large_list(split.type):
-            split = split.cast(pa.list_(pa.string()))
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        ids = self.unique(coded.dictionary.to_pylist())
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int32)
-        begin = np.cumsum(lens) - lens
+        flat, lens = self.unique(coded.dictionary.to_pylist())
         n = lens[codes]
-        ends = np.cumsum(n)
-        place = np.repeat((begin[codes] - (ends - n)).astype(np.int32), n)
-        place += np.arange(len(place), dtype=np.int32)
-        words = split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()
-        return flat[place], np.r_[0, ends][words]
+        ids = flat[ragged((np.cumsum(lens) - lens)[codes], n)]
+        return ids, np.r_[0, np.cumsum(n)][split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()]
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all segments (begin, size) one after the other."""
+    place = np.repeat((begin - (np.cumsum(size) - size)).astype(np.int32), size)
+    place += np.arange(len(place), dtype=np.int32)
+    return place
 
 
 _words: dict[str, Words] = {}
