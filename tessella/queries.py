@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import samples as S
 from .operators import bench, indexes, kernels, layout, lifting
+from .sources import containers, images
+from .streaming import signals
 from .plans.series import SeriesSpec, codec_series
 from .types import AxisTransform, InvalidArgument, Unsupported
 
@@ -413,6 +415,47 @@ def stored_bytes(spark, sf_dir):
     return planes_of(spark, sf_dir).groupBy("chunk").agg(F.sum("len").alias("stored"), F.round(F.try_divide(F.sum("len"), F.count(F.lit(1)) * 4096), 6).alias("ratio"))
 
 
+@query(f'WITH {PLANES} SELECT chunk, CAST(plane AS INTEGER) AS plane, "offset", len, CAST(least(len, 300) AS BIGINT) AS low FROM pidx')
+def container_index(spark, sf_dir):
+    """Each chunk's planes written as a container's header and index, and read back from its bytes."""
+    planes = planes_of(spark, sf_dir).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("plane", "offset", "len"))).alias("planes"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            data = [containers.serialized([len(ps), 8, 8], 1, [(p["offset"], p["len"], [min(p["len"], 300), p["len"]]) for p in ps]) for ps in batch.column("planes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(data, pa.binary())], names=["chunk", "data"])
+
+    return containers.plane_index(planes.mapInArrow(run, "chunk long, data binary"), "chunk").select("chunk", "plane", "offset", "len", F.col("prefix")[0].alias("low"))
+
+
+def image_round_trip(spark, sf_dir: str, extension: str) -> DataFrame:
+    planes = plane_rows(spark, sf_dir).select(F.concat(F.col("vec_id").cast("string"), F.lit(extension)).alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.lit("uint16").alias("dtype"), F.array(F.transform("values", lambda v: F.abs(v).cast("int"))).alias("comps"))
+    back = images.decoded(images.encoded(planes))
+    return back.select("path", "width", "height", "dtype", F.array_join(F.transform(F.col("comps")[0], lambda v: v.cast("string")), ",").alias("flat"))
+
+
+IMAGES = """SELECT vec_id || '{}' AS path, 8::INTEGER AS width, 8::INTEGER AS height, 'uint16' AS dtype, array_to_string(list_transform(embedding, lambda v: abs(CAST(floor(CAST(v AS DOUBLE) * 1000) AS BIGINT))), ',') AS flat FROM embeddings"""
+
+
+@query(IMAGES.format(".pgm"))
+def image_pnm(spark, sf_dir):
+    return image_round_trip(spark, sf_dir, ".pgm")
+
+
+@query(IMAGES.format(".png"))
+def image_png(spark, sf_dir):
+    return image_round_trip(spark, sf_dir, ".png")
+
+
+@query("""WITH s AS (SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS start, ts, event_id, CAST(floor(value * 100) AS BIGINT) AS x FROM events),
+  d AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY user_id, start ORDER BY ts, event_id)) AS step FROM s)
+  SELECT user_id, start, CAST(count(*) AS INTEGER) AS n, arg_min(x, (ts, event_id)) AS "first", arg_max(x, (ts, event_id)) AS "last", CAST(coalesce(sum(step), 0) AS BIGINT) AS energy FROM d GROUP BY user_id, start""")
+def block_summary(spark, sf_dir):
+    return signals.block_summary(table(spark, sf_dir, "events"))
+
+
 # measurements
 
 RECORD = """CAST(count(*) AS BIGINT) AS num_samples, CAST(floor(median(ns)) AS BIGINT) AS median_ns, min(ns) AS min_ns, max(ns) AS max_ns, stddev_pop(ns) AS sigma_ns, CAST(sum(ns) AS BIGINT) AS bytes_out, CAST(count(*) * 3000 AS BIGINT) AS bytes_in"""
