@@ -62,3 +62,25 @@ def brick_range(brick: list[Column], grid: list[Column], rate_bits: int, dims: i
     bits = rate_bits * 4**dims
     first = F.lit(header_bits) + linear * bits
     return F.floor(first / 8).cast("long"), F.floor((first + bits - 1) / 8).cast("long")
+
+
+def precinct_hit(px: Column, py: Column, res: Column, levels: int, width: Column, height: Column, rect: tuple[int, int, int, int], size: int) -> Column:
+    """Whether a precinct of size x size samples of a resolution overlaps a rectangle (x, y, w, h) of the full plane."""
+    x, y, w, h = rect
+    down = lambda v: F.floor(F.lit(v) / F.pow(F.lit(2), F.lit(levels) - res)).cast("long")
+    rw, rh = level_extent(width, F.lit(levels) - res), level_extent(height, F.lit(levels) - res)
+    x0, y0 = F.least(down(x), rw), F.least(down(y), rh)
+    x1, y1 = F.least(down(x + w - 1), rw - 1), F.least(down(y + h - 1), rh - 1)
+    return (px * size <= x1) & ((px + 1) * size > x0) & (py * size <= y1) & ((py + 1) * size > y0)
+
+
+def shifted(plan: DataFrame, by: int) -> DataFrame:
+    """A plan for bytes that lie `by` further on, as in a box."""
+    return plan.withColumns({"start": F.col("start") + by, "end": F.col("end") + by})
+
+
+def rendered(plan: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key's plan as JSON and as the value of an HTTP Range header."""
+    gathered = plan.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"), total_bytes().alias("total_bytes"))
+    text = F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return gathered.select(*keys, F.to_json(F.struct("ranges", "total_bytes")).alias("plan"), text.alias("ranges"))

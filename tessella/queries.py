@@ -11,6 +11,7 @@ from .functions import samples as S
 from .operators import bench, indexes, kernels, layout, lifting
 from .sources import containers, images
 from .streaming import signals
+from .plans import codecs
 from .plans.series import SeriesSpec, codec_series
 from .types import AxisTransform, InvalidArgument, Unsupported
 
@@ -456,6 +457,38 @@ def block_summary(spark, sf_dir):
     return signals.block_summary(table(spark, sf_dir, "events"))
 
 
+@query("""WITH c AS (SELECT p_partkey, CAST(p_size * 40 AS BIGINT) AS w, CAST(p_size * 24 + 7 AS BIGINT) AS h, res, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, CAST(1 << (2 - res) AS BIGINT) AS scale FROM part, range(3) r(res), range(4) a(px), range(4) b(py)),
+  e AS (SELECT *, (w + scale - 1) // scale AS rw, (h + scale - 1) // scale AS rh FROM c)
+  SELECT p_partkey, CAST(res AS INTEGER) AS res, CAST(count(*) AS BIGINT) AS hits FROM e WHERE px * 128 < rw AND py * 128 < rh AND px * 128 <= least(499 // scale, rw - 1) AND (px + 1) * 128 > least(200 // scale, rw)
+    AND py * 128 <= least(389 // scale, rh - 1) AND (py + 1) * 128 > least(90 // scale, rh) GROUP BY ALL""")
+def region_packets(spark, sf_dir):
+    """Precincts of 128 samples, three resolutions of them, that a rectangle of 300 x 300 at (200, 90) needs."""
+    grid = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("long") * 40).alias("w"), (F.col("p_size").cast("long") * 24 + 7).alias("h"))
+    for name, n in (("res", 3), ("px", 4), ("py", 4)):
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    extent = lambda c: indexes.level_extent(F.col(c), F.lit(2) - F.col("res"))
+    there = grid.where((F.col("px") * 128 < extent("w")) & (F.col("py") * 128 < extent("h")))
+    hit = indexes.precinct_hit(F.col("px"), F.col("py"), F.col("res"), 2, F.col("w"), F.col("h"), (200, 90, 300, 300), 128)
+    return there.where(hit).groupBy("p_partkey", "res").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(f"""WITH {PLANES}, r AS (SELECT DISTINCT chunk, 85::BIGINT AS s, 200::BIGINT AS e FROM pidx WHERE plane = 2 UNION ALL SELECT chunk, "offset" + 85, "offset" + len + 84 FROM pidx WHERE plane = 2),
+  f AS (WITH {MERGED}) SELECT chunk, string_agg(start || '-' || "end", ',' ORDER BY start) AS ranges FROM f GROUP BY chunk""")
+def plan_rendered(spark, sf_dir):
+    plan = indexes.plane_plan(planes_of(spark, sf_dir).where("plane = 2"), ["chunk"])
+    return indexes.rendered(indexes.shifted(plan, 85), ["chunk"]).select("chunk", "ranges")
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000) AS BIGINT)), ',') AS flat FROM embeddings")
+def series_round_trip(spark, sf_dir):
+    """The array stages of two planned series applied to 2 x 1 x 8 x 4 chunks, and undone."""
+    rows = plane_rows(spark, sf_dir)
+    for family in ("nd-lift-ht", "nd-delta"):
+        series = codec_series(SeriesSpec(("t", "c", "z", "y", "x")[1:], (2, 1, 8, 4), "int16", family, decorrelate=(0,) if family == "nd-lift-ht" else None))
+        rows = codecs.array_stages(codecs.array_stages(rows, series, [2, 1, 8, 4]), series, [2, 1, 8, 4], back=True)
+    return rows.select("vec_id", F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("flat"))
+
+
 # measurements
 
 RECORD = """CAST(count(*) AS BIGINT) AS num_samples, CAST(floor(median(ns)) AS BIGINT) AS median_ns, min(ns) AS min_ns, max(ns) AS max_ns, stddev_pop(ns) AS sigma_ns, CAST(sum(ns) AS BIGINT) AS bytes_out, CAST(count(*) * 3000 AS BIGINT) AS bytes_in"""
