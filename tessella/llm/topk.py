@@ -11,10 +11,10 @@ from .common import table, written
 
 TOP = 10
 SCALE = 1024
-BLOCK = 4096  # vectors in an index block
+BLOCK = 8192  # vectors in an index block
 QUERIES = 1024  # queries that meet a block at once
 LEVELS = 32
-STOPS = (0.65, 0.85)
+STOPS = (0.7,)
 NO_ID = (1 << 63) - 1
 
 
