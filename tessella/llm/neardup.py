@@ -16,7 +16,9 @@ TREES = 16
 DEPTH = 4  # a pair of similarity 0.8 shares this prefix in one of the trees with probability 0.9998
 DEEPEST = 8
 REGION = 16
-NEIGHBOURS = 2
+NEIGHBOURS = 3
+WINDOW = 2048
+MEMBER_BLOCK, REST_BLOCK = 1_000_000, 250_000  # shingles in a block
 SLICE_BYTES = 8 << 20
 #: Pairs whose 2-bit sketches differ in more of the 64 places are no candidates: a pair of similarity 0.8 differs in 9.6 of them, 22 is 4.3 deviations away.
 SKETCH_LIMIT = 22
@@ -96,7 +98,7 @@ def signed(batches, k: int):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64))], names=["doc_id", "node", "n", "sig", "s1", "s2"])
 
 
-PAIR = "a binary, b binary, region binary, node binary, s1 long, s2 long"
+PAIR = "a binary, b binary, region binary, node binary, n int"
 
 
 def alike(x1, x2, y1, y2) -> np.ndarray:
@@ -108,7 +110,8 @@ def neighbours(batches):
 
     A region is a run of rows that share a tree and DEPTH hashes. Regions of up to REGION rows give all pairs; larger
     ones are taken deeper, a hash at a time, until they are small enough or DEEPEST is reached, and also give each
-    row's next NEIGHBOURS, which have the longest common prefixes. The members of such regions, and of those that
+    row the NEIGHBOURS with the nearest sketches among the WINDOW rows on either side, which share the longest
+    prefixes with it: copies of one text find that text. The members of such regions, and of those that
     touch the task's first or last row and may go on in another, are passed on as (region, node) for the exact rest.
     """
 
@@ -138,17 +141,21 @@ def neighbours(batches):
                         at = i
 
         deeper(0, n, DEPTH)
-        if n > REGION:
-            for step in range(1, NEIGHBOURS + 1):
-                i = np.arange(n - step)
-                keep = alike(x1[:-step], x2[:-step], x1[step:], x2[step:])
-                pairs.update(zip(i[keep].tolist(), (i[keep] + step).tolist()))
-        out = [(min(node[i], node[j]), max(node[i], node[j]), None, None, 0, 0) for i, j in pairs]
+        for a in range(0, n if n > REGION else 0, 256):
+            b, lo, hi = min(n, a + 256), max(0, a - WINDOW), min(n, a + 256 + WINDOW)
+            far = np.bitwise_count((x1[a:b, None] ^ x1[None, lo:hi]) | (x2[a:b, None] ^ x2[None, lo:hi])).astype(np.int32)
+            far[np.arange(b - a), np.arange(a - lo, b - lo)] = 65
+            ranked = far * (hi - lo) + np.arange(hi - lo, dtype=np.int32)
+            best = np.argpartition(ranked, NEIGHBOURS - 1, axis=1)[:, :NEIGHBOURS]
+            i, k = np.nonzero(np.take_along_axis(far, best, axis=1) <= SKETCH_LIMIT)
+            j = best[i, k] + lo
+            pairs.update(zip(np.minimum(i + a, j).tolist(), np.maximum(i + a, j).tolist()))
+        out = [(min(node[i], node[j]), max(node[i], node[j]), None, None, 0) for i, j in pairs]
         if edge or n > REGION:
             region = order[0][: 1 + 4 * DEPTH]
-            out += [(None, None, region, node[i], int(v1), int(v2)) for i, (v1, v2) in enumerate(zip(x1.view(np.int64), x2.view(np.int64)))]
+            out += [(None, None, region, v, k) for v, k in zip(node, rows["n"].tolist())]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["a", "b", "region", "node", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "region", "node", "n"])
 
     held, first = None, True
     for batch in batches:
@@ -175,6 +182,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def crossing(percent: int):
+    """Links between a block of a region's rest and a block of its members, on whole sets; one for each node and other component is enough."""
+
+    def run(rest: pa.Table, members: pa.Table) -> pa.Table:
+        found: list[tuple[bytes, bytes]] = []
+        if rest.num_rows and members.num_rows:
+            column = members.column("set").combine_chunks()
+            lens = column.value_lengths().to_numpy()
+            shingles = column.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(lens)), lens)
+            order = np.argsort(shingles, kind="stable")
+            shingles, owner = shingles[order], owner[order]
+            names, labels = members.column("node").to_pylist(), members.column("label").to_pylist()
+            for node, label, s in zip(rest.column("node").to_pylist(), rest.column("label").to_pylist(), rest.column("set").combine_chunks()):
+                s = s.values.to_numpy()
+                lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(lens))
+                seen = {label}
+                for j in np.flatnonzero(100 * both >= percent * (len(s) + lens - both)):
+                    if labels[j] not in seen:
+                        seen.add(labels[j])
+                        found.append((min(node, names[j]), max(node, names[j])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the component's smallest node) for every node in links.
 
@@ -199,7 +235,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Documents with equal shingle sets are one node. A forest of TREES signature orders, range-partitioned so that a
     region of any size is spread over tasks, gives candidates (neighbours); 2-bit sketches drop the hopeless ones and
     the others are confirmed on whole sets. Regions too large for all pairs get an exact pass: members outside their
-    region's largest component are held against every member of other components.
+    region's largest component are held against every member of other components, in blocks.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id). Texts without
     words, null ones too, have no shingles and are alone. Rows that repeat a doc_id with another text are nodes of
@@ -208,11 +244,11 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     found = written(rows.mapInArrow(lambda batches: signed(batches, k), "doc_id long, " + NODE))
-    nodes = written(found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
+    nodes = written(found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
 
     turned = F.concat("sig", "sig")
     trees = [F.concat(F.unhex(F.lit(f"{t:02x}")), F.substring(turned, 1 + 4 * DEPTH * t, 4 * DEEPEST)) for t in range(TREES)]
-    forest = nodes.select("node", "s1", "s2", F.explode(F.array(*trees)).alias("ord"))
+    forest = nodes.select("node", "n", "s1", "s2", F.explode(F.array(*trees)).alias("ord"))
     met = written(forest.repartitionByRange("ord", "node").sortWithinPartitions("ord", "node").mapInArrow(neighbours, PAIR))
     first = written(met.where("region is null").select("a", "b").distinct())
 
@@ -228,17 +264,24 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = written(confirmed(first, sets_of(first), percent))
     labels = components(links)
 
-    # the exact rest of large regions
-    members = written(met.where("region is not null").select("region", "node", "s1", "s2").distinct().join(labels, "node", "left").select("region", "node", "s1", "s2", F.coalesce("label", "node").alias("label")))
-    held = members.groupBy("region", "label").agg(F.count("*").alias("n"))
-    main = held.groupBy("region").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    rest = written(members.join(main, "region").where("label != main").select("region", F.col("node").alias("n1"), F.col("label").alias("l1"), F.col("s1").alias("x1"), F.col("s2").alias("x2")))
-    close = F.bit_count(F.col("s1").bitwiseXOR(F.col("x1")).bitwiseOR(F.col("s2").bitwiseXOR(F.col("x2")))) <= SKETCH_LIMIT
-    crossing = members.alias("m").join(rest.alias("r"), (F.col("m.region") == F.col("r.region")) & (F.col("label") != F.col("l1")) & close)
-    second = written(crossing.select(F.least("node", "n1").alias("a"), F.greatest("node", "n1").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    if second.limit(1).count():
-        more = confirmed(second, sets_of(second), percent)
-        labels = components(written(links.unionByName(more)))
+    # the exact rest of large regions: members outside the largest component against those of other components, in blocks
+    members = written(met.where("region is not null").select("region", "node", "n").distinct().join(labels, "node", "left").select("region", "node", "n", F.coalesce("label", "node").alias("label")))
+    held = members.groupBy("region", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    main = held.groupBy("region").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("all")).where("labels > 1")
+    blocks = lambda n, size: F.ceil(n / F.lit(float(size))).cast("int")
+    split = main.select("region", "main", blocks(F.col("all"), MEMBER_BLOCK).alias("mb"))
+    rest = members.join(split, "region").where("label != main").select("region", "node", "n", "label", "mb")
+    rest = rest.join(rest.groupBy("region").agg(blocks(F.sum("n"), REST_BLOCK).alias("rb")), "region")
+    sizes = written(rest.select("region", "mb", "rb").distinct())
+    if sizes.limit(1).count():
+        asked = members.join(sizes, "region").select("region", "node", "label", "mb", "rb")
+        filled = written(asked.join(sets_of(asked.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node"))
+        own = F.xxhash64("node")
+        numbered = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = filled.join(main.select("region", "main"), "region").where("label != main").select("region", "node", "label", "set", F.pmod(own, F.col("rb")).cast("int").alias("r"), numbered("mb").alias("m"))
+        right = filled.select(*(F.col(c).alias(c) for c in ("region", "node", "label", "set")), F.pmod(own, F.col("mb")).cast("int").alias("m"), numbered("rb").alias("r"))
+        more = left.groupBy("region", "r", "m").cogroup(right.groupBy("region", "r", "m")).applyInArrow(crossing(percent), "a binary, b binary")
+        labels = components(written(links.unionByName(more.distinct())))
 
     least = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
