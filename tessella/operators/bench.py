@@ -34,3 +34,16 @@ def gated(rows: DataFrame, gate: str) -> DataFrame:
     """The rows that fail a gate: time, ratio or both."""
     tests = {"time": F.col("time_regressed"), "ratio": F.col("ratio_regressed"), "both": F.col("time_regressed") | F.col("ratio_regressed")}
     return rows.where(tests[gate])
+
+
+def report(rows: DataFrame, gate: str) -> DataFrame:
+    """Diff rows with readable columns: the change in percent, and a status that names regressions of the gated kinds
+    and notes others. Write it with any of Spark's formats (csv, json) or show it."""
+    time, ratio = F.col("time_regressed"), F.col("ratio_regressed")
+    gated_time, gated_ratio = gate in ("time", "both"), gate in ("ratio", "both")
+    kinds = F.concat_ws("+", F.when(time & F.lit(gated_time), "TIME"), F.when(ratio & F.lit(gated_ratio), "RATIO"))
+    noted = F.concat_ws(", ", F.when(time & F.lit(not gated_time), "time n/a"), F.when(ratio & F.lit(not gated_ratio), "ratio n/a"))
+    change = F.round(100.0 * (F.col("median_ns") - F.col("baseline_median_ns")) / F.nullif("baseline_median_ns", F.lit(0)), 1)
+    text = F.when(F.col("baseline_median_ns").isNull(), "new").otherwise(F.concat(F.when(change >= 0, "+").otherwise(""), change.cast("string"), F.lit(" %")))
+    status = F.when(kinds != "", F.concat(kinds, F.lit("-REGRESSED"))).when(noted != "", F.concat(F.lit("ok ("), noted, F.lit(": ungated)"))).otherwise("ok")
+    return rows.withColumn("change", text).withColumn("status", status)

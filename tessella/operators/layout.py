@@ -60,3 +60,17 @@ def bit_depth(low: Column, high: Column) -> Column:
     """The narrowest depth that holds all values from low to high: unsigned, or signed where low is negative."""
     bits = lambda c: F.when(c > 0, F.length(F.bin(c))).otherwise(0)
     return F.greatest(F.when(low < 0, F.greatest(bits(-(low + 1)), bits(high)) + 1).otherwise(bits(high)), F.lit(1)).cast("int")
+
+
+def pyramid(cell_rows: DataFrame, keys: list[str], levels: int, row: str = "row", col: str = "col", value: str = "x") -> DataFrame:
+    """Minima over 2 x 2 blocks of 2 x 2 blocks ...: a row for each node of each level (0: the cells). Each cell is
+    dealt to its nodes once and summed up before the shuffle."""
+    nodes = F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(F.col(row) / F.pow(F.lit(2), k)).cast("int").alias(row), F.floor(F.col(col) / F.pow(F.lit(2), k)).cast("int").alias(col))))
+    dealt = cell_rows.select(*keys, F.col(value), nodes.alias("_node"))
+    return dealt.groupBy(*keys, F.col("_node.level").alias("level"), F.col(f"_node.{row}").alias(row), F.col(f"_node.{col}").alias(col)).agg(F.min(value).alias(value))
+
+
+def output_dtype(depth: Column, signed: Column) -> Column:
+    """The smallest integer type for planes of a bit depth; take the deepest plane's for several."""
+    bits = F.when(depth <= 8, "8").when(depth <= 16, "16").otherwise("32")
+    return F.concat(F.when(signed, "int").otherwise("uint"), bits)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import samples as S
 from .operators import bench, indexes, kernels, layout, lifting
-from .sources import containers, images
+from .sources import boxes, containers, images
 from .streaming import signals
 from .plans import codecs
 from .plans.series import SeriesSpec, codec_series
@@ -298,6 +298,33 @@ def depth_for(spark, sf_dir):
     return m.withColumn("depth", layout.bit_depth(F.col("low"), F.col("high")))
 
 
+@query(f'WITH {CELLS} SELECT vec_id, CAST(k AS INTEGER) AS level, CAST("row" >> k AS INTEGER) AS "row", CAST(col >> k AS INTEGER) AS col, min(x) AS x FROM cells, range(4) t(k) GROUP BY vec_id, k, "row" >> k, col >> k')
+def minimum_pyramid(spark, sf_dir):
+    return layout.pyramid(cells_of(spark, sf_dir), ["vec_id"], 3)
+
+
+@query(f"""WITH {CELLS}, m AS (SELECT vec_id % 10 AS g, min(x) AS low, max(x) AS high FROM cells GROUP BY ALL)
+  SELECT g, CASE WHEN low < 0 THEN 'int' ELSE 'uint' END || CASE WHEN greatest(-(low + 1), high) < CASE WHEN low < 0 THEN 128 ELSE 256 END THEN '8' WHEN greatest(-(low + 1), high) < CASE WHEN low < 0 THEN 32768 ELSE 65536 END THEN '16' ELSE '32' END AS dtype FROM m""")
+def output_dtype(spark, sf_dir):
+    m = cells_of(spark, sf_dir).groupBy((F.col("vec_id") % 10).alias("g")).agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    return m.select("g", layout.output_dtype(layout.bit_depth(F.col("low"), F.col("high")), F.col("low") < 0).alias("dtype"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS path, 85::BIGINT AS \"offset\", CAST(length(CAST(vec_id AS VARCHAR)) AS BIGINT) AS length, 8::BIGINT AS width, vec_id AS height, 1::BIGINT AS comps FROM embeddings")
+def boxed_streams(spark, sf_dir):
+    """Small streams put into boxes and found again."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), "vec_id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            files = [boxes.wrapped(p.encode(), 8, h, 1, 8) for p, h in zip(batch.column("path").to_pylist(), batch.column("vec_id").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(files, pa.binary())], names=["path", "content"])
+
+    return boxes.streams(rows.mapInArrow(run, "path string, content binary"))
+
+
 # byte indexes and plans
 
 @query("""WITH r AS (SELECT user_id, event_id * 7 % 5000 AS s, event_id * 7 % 5000 + CAST(floor(value) AS BIGINT) AS e FROM events),
@@ -527,6 +554,11 @@ def bench_gate(spark, sf_dir):
     return bench.gated(bench.diff(*bench_halves(spark, sf_dir), ["config", "name"]), "both")
 
 
+@query(DIFF + """ SELECT config, name, CASE WHEN time_regressed THEN 'TIME-REGRESSED' WHEN ratio_regressed THEN 'ok (ratio n/a: ungated)' ELSE 'ok' END AS status FROM d""")
+def bench_report(spark, sf_dir):
+    return bench.report(bench.diff(*bench_halves(spark, sf_dir), ["config", "name"]), "time").select("config", "name", "status")
+
+
 @query(f"WITH {SAMPLES} SELECT DISTINCT config, name FROM s WHERE contains(config, 'c') AND name % 2 = 0")
 def bench_filter(spark, sf_dir):
     return bench_samples(spark, sf_dir).where(F.col("config").contains("c") & (F.col("name") % 2 == 0)).select("config", "name").distinct()
