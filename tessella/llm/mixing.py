@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = REPEATS, seed: int
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in found]
     shares = targets_of(sizes, [float(weights[i % len(weights)]) for i in range(len(found))], cap, sum(sizes))
-    before = [sum(sizes[:i]) for i in range(len(sizes))]
+    before = accumulate([0, *sizes])
     plan = docs.sparkSession.createDataFrame([(r["source"], i, r["size"], t, b) for i, (r, t, b) in enumerate(zip(found, shares, before))], "source string, rank int, source_size long, target double, before long")
 
     # one row per source

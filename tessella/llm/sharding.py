@@ -34,8 +34,8 @@ def range_of(h: np.ndarray, ids: np.ndarray, sh: np.ndarray, sid: np.ndarray) ->
     lo, hi = np.searchsorted(sh, h, "left"), np.searchsorted(sh, h, "right")
     out = lo.copy()
     for v in np.unique(h[hi > lo]):
-        own, a, b = h == v, *np.searchsorted(sh, [v, v + 1] if v < np.iinfo(np.int64).max else [v, v], "left")
-        b = len(sh) if v == np.iinfo(np.int64).max else b
+        own = h == v
+        a, b = lo[own][0], hi[own][0]
         out[own] = a + np.searchsorted(sid[a:b], ids[own], "right")
     return out
 
