@@ -479,9 +479,9 @@ def image_png(spark, sf_dir):
 
 @query("""WITH s AS (SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS start, ts, event_id, CAST(floor(value * 100) AS BIGINT) AS x FROM events),
   d AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY user_id, start ORDER BY ts, event_id)) AS step FROM s)
-  SELECT user_id, start, CAST(count(*) AS INTEGER) AS n, arg_min(x, (ts, event_id)) AS "first", arg_max(x, (ts, event_id)) AS "last", CAST(coalesce(sum(step), 0) AS BIGINT) AS energy FROM d GROUP BY user_id, start""")
+  SELECT user_id, strftime(start, '%Y-%m-%d %H:%M') AS start, CAST(count(*) AS INTEGER) AS n, arg_min(x, (ts, event_id)) AS "first", arg_max(x, (ts, event_id)) AS "last", CAST(coalesce(sum(step), 0) AS BIGINT) AS energy FROM d GROUP BY user_id, start""")
 def block_summary(spark, sf_dir):
-    return signals.block_summary(table(spark, sf_dir, "events"))
+    return signals.block_summary(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
 @query("""WITH c AS (SELECT p_partkey, CAST(p_size * 40 AS BIGINT) AS w, CAST(p_size * 24 + 7 AS BIGINT) AS h, res, CAST(px AS BIGINT) AS px, CAST(py AS BIGINT) AS py, CAST(1 << (2 - res) AS BIGINT) AS scale FROM part, range(3) r(res), range(4) a(px), range(4) b(py)),
