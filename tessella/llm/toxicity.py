@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all their words, and over marking terms."""
 
 from __future__ import annotations
 
@@ -17,6 +17,9 @@ TERMS = 4_096
 NEAREST = 15
 BLOCK = 64
 PRIOR = 2.0
+COMMON = 512  # words held as dense columns of the word index
+TOGETHER = 64  # texts that meet the dense columns at once
+SAME = 0.001
 STEMS = (4, 5, 6)
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -125,11 +128,116 @@ class Index:
         return [(-s, j) for s, j in best]
 
 
-class Model:
-    """The index and the calibration of its votes."""
+class WordIndex:
+    """Unit TF-IDF vectors of the examples over all their words, with IDF from all documents; nothing is pruned.
+
+    The COMMON most frequent words are dense columns in single precision, all others are postings; what comes within
+    MARGIN of the k-th best is scored again in double precision, so that the nearest are exact. A word that no example
+    holds adds to a text's length as one that is in a single document."""
+
+    MARGIN = 1e-4
+
+    def __init__(self, words: list[str], df: np.ndarray, documents: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.words, self.n = "\n".join(words), len(examples)
+        self.idf = np.log((1 + documents) / (1 + df)) + 1
+        self.unseen = float(np.log((1 + documents) / 2) + 1)
+        self.docs, self.labels = [r[0] for r in examples], np.array([r[1] for r in examples], float)
+        sizes = [len(r[2]) for r in examples]
+        self.begin = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        self.ids = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in examples)]).astype(np.int32)
+        tf = np.concatenate([np.zeros(0), *(1 + np.log(r[3]) for r in examples)])
+        w = tf * self.idf[self.ids]
+        rows = np.repeat(np.arange(self.n), sizes)
+        self.w = w / np.sqrt(np.bincount(rows, w * w, self.n))[rows]
+        self.ready = False
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("words", "n", "idf", "unseen", "docs", "labels", "begin", "ids", "w")} | {"ready": False}
+
+    def prepare(self) -> None:
+        """What is built where it is used: the word table, dense columns and postings."""
+        self.place = places_of(self.words)
+        v = len(self.idf)
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.begin))
+        held = np.bincount(self.ids, minlength=v)
+        self.column = np.full(v, -1, np.int32)
+        top = np.argsort(-held, kind="stable")[:COMMON]
+        self.column[top] = np.arange(len(top))
+        dense = self.column[self.ids] >= 0
+        self.dense = np.zeros((len(top), self.n), np.float32)
+        self.dense[self.column[self.ids[dense]], rows[dense]] = self.w[dense]
+        order = np.argsort(self.ids[~dense], kind="stable")
+        self.held, self.weight = rows[~dense][order], self.w[~dense][order]
+        self.at = np.r_[0, np.cumsum(np.where(self.column < 0, held, 0))]
+        self.scratch = np.zeros(v)
+        self.ready = True
+
+    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        find = self.place.get
+        at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
+        w = 1 + np.log(np.fromiter(words.values(), float, len(words)))
+        known = at >= 0
+        w *= np.where(known, self.idf[at] if len(self.idf) else 0.0, self.unseen)
+        return at[known], w[known] / (np.sqrt((w * w).sum()) or 1.0)
+
+    def nearest(self, texts: list[Counter], k: int) -> list[list[tuple[float, int]]]:
+        """For each text the k largest cosines with their examples, exactly; ties go to the earlier example."""
+        if not self.n:
+            return [[] for _ in texts]
+        if not self.ready:
+            self.prepare()
+        out = []
+        for a in range(0, len(texts), TOGETHER):
+            vectors = [self.vector(x) for x in texts[a : a + TOGETHER]]
+            queries = np.zeros((len(vectors), len(self.dense)), np.float32)
+            for q, (ids, w) in zip(queries, vectors):
+                c = self.column[ids]
+                q[c[c >= 0]] = w[c >= 0]
+            out.extend(self.best(ids, w, near, k) for (ids, w), near in zip(vectors, queries @ self.dense))
+        return out
+
+    def best(self, ids: np.ndarray, w: np.ndarray, near: np.ndarray, k: int) -> list[tuple[float, int]]:
+        rare = self.column[ids] < 0
+        own, x = ids[rare], w[rare]
+        lens = self.at[own + 1] - self.at[own]
+        at = np.repeat(self.at[own] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        total = near + np.bincount(self.held[at], np.repeat(x, lens) * self.weight[at], self.n)
+        least = np.partition(total, self.n - k)[self.n - k] if k < self.n else 0.0
+        some = np.flatnonzero((total > 0) & (total >= least - self.MARGIN))
+        if not len(some):
+            return []
+        self.scratch[ids] = w
+        lens = self.begin[some + 1] - self.begin[some]
+        first = np.cumsum(lens) - lens
+        at = np.repeat(self.begin[some] - first, lens) + np.arange(lens.sum())
+        exact = np.round(np.add.reduceat(self.scratch[self.ids[at]] * self.w[at], first), 12)
+        self.scratch[ids] = 0
+        return [(float(exact[i]), int(some[i])) for i in np.lexsort((some, -exact))[:k]]
 
-    def __init__(self, index: Index, base: float):
-        self.index, self.base = index, base
+
+class Model:
+    """The two indexes and the calibration of their votes."""
+
+    def __init__(self, index: Index, base: float, words: WordIndex):
+        self.index, self.base, self.words = index, base, words
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Each text's score, the larger of what its nearest by all words and by marking terms say, and its nearest
+        by all words. A text without words scores the base rate."""
+        counted = [words_of(t) for t in texts]
+        count, out = matcher(self.index.terms), []
+        for text, words, near in zip(texts, counted, self.words.nearest(counted, NEAREST)):
+            hits = count(words)
+            marked = self.score(hits, len(text.split()))[0] if hits else 0.0
+            out.append((max(marked, self.alike(near)), near))
+        return out
+
+    def alike(self, near: list[tuple[float, int]]) -> float:
+        """Votes weighted by the odds of their cosines, shrunk to the base rate: a copy decides, far texts say little."""
+        s = np.array([s for s, _ in near])
+        weight = s / (SAME + np.maximum(0.0, 1 - s))
+        votes = float((weight * self.words.labels[[j for _, j in near]]).sum()) if near else 0.0
+        return (votes + PRIOR * self.base) / (float(weight.sum()) + PRIOR)
 
     def score(self, counts: dict[str, int], length: int) -> tuple[float, list[tuple[float, int]]]:
         """Votes weighted by closeness, shrunk towards the share of toxic ones among examples without any term."""
@@ -142,36 +250,28 @@ class Model:
 
 
 def matcher(terms: dict[str, int]):
-    """Counts the model's terms in a text: an automaton finds them and word boundaries decide."""
-    import ahocorasick
-
-    auto = ahocorasick.Automaton()
-    for t in terms:
-        auto.add_word(t.rstrip("*"), t.rstrip("*"))
-    if not len(auto):
-        return lambda text: Counter()
-    auto.make_automaton()
-
-    def count(text: str | None) -> Counter:
-        low = (text or "").lower()
+    """Counts the model's terms, words and stems, among a text's words."""
+    heads = {t[: min(STEMS)] for t in terms if t.endswith("*")}
+
+    def count(words: Counter) -> Counter:
         hits = Counter()
-        for end, t in auto.iter(low):
-            begin = end - len(t)  # the place before it
-            if begin >= 0 and WORD.match(low, begin, begin + 1):
-                continue
-            if end + 1 < len(low) and WORD.match(low, end + 1, end + 2):
-                hits[t + "*"] += t + "*" in terms
-            else:
-                hits[t] += t in terms
-        return +hits
+        for w, n in words.items():
+            if w in terms:
+                hits[w] += n
+            if w[: min(STEMS)] in heads:
+                for k in STEMS:
+                    if len(w) > k and w[:k] + "*" in terms:
+                        hits[w[:k] + "*"] += n
+        return hits
 
     return count
 
 
 def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPLES) -> Model:
     """A model from labelled rows on which `training` (of doc_id) holds, at most `examples` of each class (by hash, so
-    reruns agree). Terms are words and stems that mark toxic examples: in at least 1 % of them and 3, used at least
-    eight times as often as in clean ones, with a chi-square of 15 or more; at most TERMS of them, by chi-square."""
+    reruns agree). All words of these examples are indexed, with IDF over all of docs. Besides, terms are words and
+    stems that mark toxic examples: in at least 1 % of them and 3, used at least eight times as often as in clean
+    ones, with a chi-square of 15 or more; at most TERMS of them, by chi-square."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit(11))
     some = [marked.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples) for y in (0, 1)]
@@ -181,7 +281,7 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     names = ["toxic", "clean", "toxic_uses", "clean_uses"]
-    counts = sample.mapInArrow(counted, "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*(F.sum(c).alias(c) for c in names))
+    counts = written(sample.mapInArrow(counted, "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)))
     a, b = F.col("toxic"), F.col("clean")
     rate = ((F.col("toxic_uses") + 0.5) / (n1 + 1)) / ((F.col("clean_uses") + 0.5) / (n0 + 1))
     chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / (F.lit(max(1.0, 1.0 * n1 * n0)) * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1)))
@@ -189,35 +289,57 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
     idf = {r["term"]: float(np.log((1 + n1 + n0) / (1 + r["toxic"] + r["clean"])) + 1) for r in chosen}
 
     known = {t: i for i, t in enumerate(idf)}
-    found = sample.mapInArrow(lambda batches: held_terms(batches, known), "doc_id long, toxic int, terms map<string,int>, length int").collect()  # 2 * examples rows at most
-    rows = sorted((r["doc_id"], r["toxic"], r["terms"], r["length"]) for r in found)
-    bare = [y for _, y, t, _ in rows if not t]
+    words = sorted(counts.where(~F.col("term").endswith("*")).select("term").toArrow().column("term").to_pylist())  # the words of 2 * examples rows at most
+    place = docs.sparkSession.sparkContext.broadcast("\n".join(words))
+    found = sample.mapInArrow(lambda batches: held_terms(batches, known, place), "doc_id long, toxic int, terms map<string,int>, length int, ids binary, counts binary").collect()  # 2 * examples rows at most
+    rows = sorted(found, key=lambda r: (r["doc_id"], r["toxic"]))
+    bare = [r["toxic"] for r in rows if not r["terms"]]
     base = (sum(bare) + 0.5) / (len(bare) + 2.0)
-    return Model(Index(idf, rows), min(base, 0.45))
+    df = np.zeros(len(words), np.int64)
+    held = docs.select("text").mapInArrow(lambda batches: word_documents(batches, place), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    df[held.column("id").to_numpy()] = held.column("n").to_numpy()
+    index = WordIndex(words, df, docs.count(), [(r["doc_id"], r["toxic"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows])
+    return Model(Index(idf, [(r["doc_id"], r["toxic"], r["terms"], r["length"]) for r in rows]), base, index)
+
 
+def places_of(words: str) -> dict[str, int]:
+    return {t: i for i, t in enumerate(words.split("\n"))} if words else {}
 
-def held_terms(batches, terms: dict[str, int]):
-    count = matcher(terms)
+
+def word_documents(batches, words):
+    """For each indexed word, how many of a task's documents hold it."""
+    place = places_of(words.value)
+    df = np.zeros(len(place), np.int64)
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            own = [i for i in map(place.get, set(WORD.findall((text or "").lower()))) if i is not None]
+            df[own] += 1
+    some = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], names=["id", "n"])
+
+
+def held_terms(batches, terms: dict[str, int], words):
+    count, place = matcher(terms), places_of(words.value)
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        found = [count(t) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int32())), pa.array([len((t or "").split()) for t in texts], pa.int32())], names=["doc_id", "toxic", "terms", "length"])
+        own = [words_of(t) for t in texts]
+        found = [count(w) for w in own]
+        ids = [np.fromiter((place[x] for x in w), np.int32, len(w)).tobytes() for w in own]
+        times = [np.fromiter(w.values(), np.int32, len(w)).tobytes() for w in own]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int32())), pa.array([len((t or "").split()) for t in texts], pa.int32()), pa.array(ids, pa.binary()), pa.array(times, pa.binary())], names=["doc_id", "toxic", "terms", "length", "ids", "counts"])
 
 
 def judged(batches, model):
     """Each batch with the scores and nearest examples of its texts."""
-    m = model.value
-    count = matcher(m.index.terms)
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            hits = count(text)
-            out.append(m.score(hits, len(text.split()) if hits else 0))
+        texts, out = batch.column("text").to_pylist(), []
+        for a in range(0, len(texts), TOGETHER):
+            out.extend(model.value.scores(texts[a : a + TOGETHER]))
         yield batch, out
 
 
 def scored(batches, model):
-    docs = model.value.index.docs
+    docs = model.value.words.docs
     for batch, out in judged(batches, model):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([[docs[j] for _, j in near[:3]] for _, near in out], pa.list_(pa.int64())), pa.array([[c for c, _ in near[:3]] for _, near in out], pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
 
@@ -235,11 +357,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
     """Every document's toxicity, from its NEAREST labelled examples.
 
     Returns doc_id, held_out (its label was not to be learned from: crc32 of the doc_id as text is divisible by 5),
-    score, predicted, evidence (doc_ids of the three nearest examples) and their cosines. A text without any of the
-    model's terms, such as an empty or null one, has no neighbours and scores the base rate, below 0.5. Null doc_ids
+    score, predicted, evidence (doc_ids of the three nearest examples by all words) and their cosines. A text without
+    words, such as an empty or null one, or without any word of the examples has no neighbours and scores the base
+    rate. Null doc_ids
     count as not held out; repeated rows are scored alike; empty documents give no rows, empty labels a score of the
-    base for all. Labels, lang and source play no part in a score. The model (at most 2 * examples vectors over TERMS
-    terms) is what is broadcast.
+    base for all. Labels, lang and source play no part in a score. The model (at most 2 * examples vectors over
+    their words) is what is broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, learnable, examples))
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: scored(batches, model), "doc_id long, score double, evidence array<long>, cosines array<double>")
