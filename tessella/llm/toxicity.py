@@ -218,8 +218,9 @@ class WordIndex:
 class Model:
     """The two indexes and the calibration of their votes."""
 
-    def __init__(self, index: Index, base: float, words: WordIndex):
-        self.index, self.base, self.words = index, base, words
+    def __init__(self, index: Index, base: float, words: WordIndex, shares: tuple[float, float] = (1.0, 1.0)):
+        """shares: what a vote of each class counts, by how few of the class were drawn."""
+        self.index, self.base, self.words, self.shares = index, base, words, np.array(shares)
 
     def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
         """Each text's score, the larger of what its nearest by all words and by marking terms say, and its nearest
@@ -236,7 +237,9 @@ class Model:
         """Votes weighted by the odds of their cosines, shrunk to the base rate: a copy decides, far texts say little."""
         s = np.array([s for s, _ in near])
         weight = s / (SAME + np.maximum(0.0, 1 - s))
-        votes = float((weight * self.words.labels[[j for _, j in near]]).sum()) if near else 0.0
+        labels = self.words.labels[[j for _, j in near]] if near else s
+        weight = weight * self.shares[labels.astype(int)]
+        votes = float((weight * labels).sum())
         return (votes + PRIOR * self.base) / (float(weight.sum()) + PRIOR)
 
     def score(self, counts: dict[str, int], length: int) -> tuple[float, list[tuple[float, int]]]:
@@ -245,7 +248,9 @@ class Model:
             return self.base, []
         near = self.index.nearest(counts, length, NEAREST)
         weight = np.array([1 / (0.05 + max(0.0, 1 - s)) for s, _ in near])
-        votes = float((weight * self.index.labels[[j for _, j in near]]).sum()) if near else 0.0
+        labels = self.index.labels[[j for _, j in near]] if near else weight
+        weight = weight * self.shares[labels.astype(int)]
+        votes = float((weight * labels).sum())
         return (votes + PRIOR * self.base) / (float(weight.sum()) + PRIOR), near
 
 
@@ -271,7 +276,8 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
     """A model from labelled rows on which `training` (of doc_id) holds, at most `examples` of each class (by hash, so
     reruns agree). All words of these examples are indexed, with IDF over all of docs. Besides, terms are words and
     stems that mark toxic examples: in at least 1 % of them and 3, used at least eight times as often as in clean
-    ones, with a chi-square of 15 or more; at most TERMS of them, by chi-square."""
+    ones, with a chi-square of 15 or more; at most TERMS of them, by chi-square. Votes and base rate are weighed by the
+    inverse of each class's sampling rate, so that they follow the ratio of all labels whatever the bound."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit(11))
     some = [marked.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples) for y in (0, 1)]
@@ -294,12 +300,20 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
     found = sample.mapInArrow(lambda batches: held_terms(batches, known, place), "doc_id long, toxic int, terms map<string,int>, length int, ids binary, counts binary").collect()  # 2 * examples rows at most
     rows = sorted(found, key=lambda r: (r["doc_id"], r["toxic"]))
     bare = [r["toxic"] for r in rows if not r["terms"]]
-    base = (sum(bare) + 0.5) / (len(bare) + 2.0)
+    shares = weighed({r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}, {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()})
+    base = (sum(y * shares[y] for y in bare) + 0.5) / (sum(shares[y] for y in bare) + 2.0)
     df = np.zeros(len(words), np.int64)
     held = docs.select("text").mapInArrow(lambda batches: word_documents(batches, place), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     df[held.column("id").to_numpy()] = held.column("n").to_numpy()
     index = WordIndex(words, df, docs.count(), [(r["doc_id"], r["toxic"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows])
-    return Model(Index(idf, [(r["doc_id"], r["toxic"], r["terms"], r["length"]) for r in rows]), base, index)
+    return Model(Index(idf, [(r["doc_id"], r["toxic"], r["terms"], r["length"]) for r in rows]), base, index, shares)
+
+
+def weighed(labelled: dict[int, int], drawn: dict[int, int]) -> tuple[float, float]:
+    """What an example of each class counts: the inverse of its class's sampling rate, 1 in the mean of all drawn."""
+    inverse = [labelled[y] / drawn[y] if drawn.get(y) else 1.0 for y in (0, 1)]
+    mean = sum(inverse[y] * n for y, n in drawn.items()) / max(1, sum(drawn.values())) or 1.0
+    return inverse[0] / mean, inverse[1] / mean
 
 
 def places_of(words: str) -> dict[str, int]:

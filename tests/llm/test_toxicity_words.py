@@ -57,3 +57,17 @@ def test_copies_of_toxic_examples_without_markers(spark):
     got = {x["doc_id"]: x for x in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert learned and all(got[c]["predicted"] == 1 and got[c]["evidence"][0] == i and got[c]["cosines"][0] == pytest.approx(1) for c, i in copies.items())
     assert all(len(x["evidence"]) == 3 for x in got.values() if x["doc_id"] != 2000) and got[2000]["evidence"] == []
+
+
+def test_scores_follow_the_ratio_of_all_labels(spark):
+    r = random.Random(9)
+    usual = [f"{a}{b}" for a in "bdfgklmn" for b in ("ara", "elo", "ino", "uru")]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(usual, k=30))) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 12 == 0)) for i in range(600)], "doc_id long, toxic int")
+    held = toxicity.toxicity(docs, labels, examples=30).where("held_out").collect()
+    assert sum(x["score"] for x in held) / len(held) < 0.2
+
+
+def test_shares_of_votes():
+    assert toxicity.weighed({0: 100, 1: 10}, {0: 10, 1: 10}) == pytest.approx((20 / 11, 2 / 11))
+    assert toxicity.weighed({0: 5, 1: 7}, {0: 5, 1: 7}) == (1, 1) and toxicity.weighed({}, {}) == (1, 1)
