@@ -1,5 +1,8 @@
 """Texts of well-known licences and of their usual notices, whole (fixed values)."""
 
+import pkgutil
+import re
+
 MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -56,3 +59,27 @@ TEXTS = {
     "GPL-3.0 (line)": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0 (line)": "Licensed under CC BY-NC 4.0.",
 }
+
+#: Files of whole licences in license_bodies.
+BODIES = ["Apache-2.0", "Artistic-1.0-Perl", "BSD-3-Clause-Regents", "BSL-1.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense"]
+#: Where what follows is advice on using a licence, often left out.
+ADVICE = re.compile(r"^[ \t]*(?:END OF TERMS AND CONDITIONS|ADDENDUM: How to use.*)[ \t]*$", re.M)
+ADDRESS = re.compile(r"51 Franklin Street, Fifth Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA")
+ADDRESSES = {"59 Temple Place": "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave": "675 Mass Ave, Cambridge, MA 02139, USA"}
+
+
+def known_texts() -> dict[str, str]:
+    """TEXTS and the whole licences of BODIES, these also without their advice on use and with the Free Software
+    Foundation's earlier addresses."""
+    out = dict(TEXTS)
+    for name in BODIES:
+        body = pkgutil.get_data(__package__, f"license_bodies/{name}.txt").decode()
+        forms = {name: body}
+        if end := ADVICE.search(body):
+            marked = "END OF TERMS" in end.group()
+            forms |= {f"{name} (terms)": body[: end.start()]} | ({f"{name} (terms, end marked)": body[: end.end()]} if marked else {})
+        for form, text in forms.items():
+            out[form] = text
+            if ADDRESS.search(text):
+                out |= {f"{form} ({at})": ADDRESS.sub(address, text) for at, address in ADDRESSES.items()}
+    return out
