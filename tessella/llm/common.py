@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,10 +15,14 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own in local mode (tests), and an
+    error on a cluster, whose executors don't share the driver's disk."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
@@ -25,7 +30,33 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and lost executors cost no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made, once all that is computed from them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, over all cores: a table of fewer files than there are cores would be read by as many tasks only. Larger
+    tables are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, F.monotonically_increasing_id()) if 0 < len(df._jdf.inputFiles()) < cores else df
+
+
+def slices(batch: pa.RecordBatch, most: int):
+    """Parts of a batch whose texts (column text, null as empty) have about `most` bytes, at least one row each."""
+    text = batch.column("text").fill_null("").cast(pa.string())
+    sizes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+    cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(most, sizes[-1] if len(sizes) else 0, most)) + 1, len(sizes)])
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield text.slice(a, b - a), batch.slice(a, b - a)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dealt, slices, table
 
 SAMPLE = 64  # bytes in a stored sample (a frame of 8-bit audio)
 GROUP = 16  # every so many samples one is a keyframe
@@ -154,18 +154,10 @@ def padded(text: bytes, unit: int = SAMPLE) -> bytes:
     return text + bytes(-len(text) % unit if text else unit)
 
 
-def text_slices(batch: pa.RecordBatch):
-    text = batch.column("text").fill_null("").cast(pa.string())
-    sizes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
-    cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(SLICE_BYTES, sizes[-1] if len(sizes) else 0, SLICE_BYTES)) + 1, len(sizes)])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield batch.column("doc_id").slice(a, b - a), text.slice(a, b - a).cast(pa.binary())
-
-
 def stored(batches):
     for batch in batches:
-        for ids, texts in text_slices(batch):
-            yield pa.RecordBatch.from_arrays([ids, pc.binary_length(texts).cast(pa.int64()), pa.array([container(padded(t)) for t in texts.to_pylist()], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for texts, rows in slices(batch, SLICE_BYTES):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), pa.array([container(padded(t)) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -198,15 +190,15 @@ def inspect(media: DataFrame) -> DataFrame:
 
 def digested(batches):
     for batch in batches:
-        for ids, texts in text_slices(batch):
-            rows = []
-            for text in texts.to_pylist():
+        for texts, rows in slices(batch, SLICE_BYTES):
+            out = []
+            for text in texts.cast(pa.binary()).to_pylist():
                 media = container(padded(text))
                 track = Track(media)
                 back = track.payload(media)
-                rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-SAMPLE:]), len(media), hashlib.sha256(media).hexdigest(), track.feature()))
+                out.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-SAMPLE:]), len(media), hashlib.sha256(media).hexdigest(), track.feature()))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -216,7 +208,7 @@ def digests(docs: DataFrame) -> DataFrame:
     empty texts store one sample of zeros; repeated rows and null doc_ids give a row each; an empty table gives no
     rows; other columns are left out.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(digested, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return dealt(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(digested, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op5_media(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dealt, slices, table, written
 
 HASHES = 64
 TREES = 16
@@ -70,15 +70,6 @@ def digest(s: np.ndarray) -> bytes:
     return (int(s.sum()) << 64 | int(stirred(s ^ MIX[HASHES + 30]).sum())).to_bytes(16, "big")
 
 
-def slices(batch: pa.RecordBatch):
-    """Parts of a batch with texts of about SLICE_BYTES."""
-    text = batch.column("text").fill_null("").cast(pa.string())
-    sizes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
-    cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(SLICE_BYTES, sizes[-1] if len(sizes) else 0, SLICE_BYTES)) + 1, len(sizes)])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield text.slice(a, b - a), batch.slice(a, b - a)
-
-
 NODE = "node binary, n int, sig binary, s1 long, s2 long"
 
 
@@ -86,7 +77,7 @@ def signed(batches, k: int):
     """doc_id and, for each document, its set's digest (node), size, signature and sketch."""
     bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for batch in batches:
-        for texts, rows in slices(batch):
+        for texts, rows in slices(batch, SLICE_BYTES):
             node, n, sig, s1, s2 = [], [], [], [], []
             for s in shingle_sets(texts, k):
                 low = signature(s)
@@ -294,7 +285,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def of_node(batches, k: int):
     """Sets of the texts; a doc_id may repeat with other texts, so the digest is made again and only matching rows stay."""
     for batch in batches:
-        for texts, rows in slices(batch):
+        for texts, rows in slices(batch, SLICE_BYTES):
             want = rows.column("node").to_pylist()
             kept = [(w, s) for w, s in zip(want, shingle_sets(texts, k)) if len(s) and digest(s) == w]
             at = np.cumsum([0, *(len(s) for _, s in kept)])

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import running, table, written
+from .common import dealt, running, slices, table, written
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
+SMALL = 64  # the last class of lengths
 SLICE_BYTES = 12 << 20
 CACHED_WORDS = 700_000
 
@@ -28,8 +29,9 @@ class Words:
     The tokenizer joins no text across white space and treats each piece between white space alone (its normalizer
     composes no character with a space before it, and its pattern drops white space), so a word's ids are the same in
     any text. Arrow splits and numbers a slice's words; only ASCII white space separates words here, a part of what
-    the tokenizer separates. A word is looked up as its body and the marks at its end: after a letter the pattern
-    takes marks as a piece of their own. The tokenizer lower-cases, so an ASCII body is looked up in lower case. Each
+    the tokenizer separates. A word is looked up as its body and the marks at its end: after an ASCII letter, which
+    the normalizer leaves a letter, the pattern takes marks as a piece of their own; words that end in another letter
+    and marks are looked up whole. The tokenizer lower-cases, so an ASCII body is looked up in lower case. Each
     different body is encoded once; the first CACHED_WORDS that a worker meets, which hold the frequent ones, stay.
     """
 
@@ -60,7 +62,7 @@ class Words:
         for i in unknown:
             word = words[i]
             body = word.rstrip(marks)
-            if not body or not body[-1].isalpha():
+            if not body or not (body[-1].isascii() and body[-1].isalpha()):
                 body = word
             ends.append(word[len(body) :])
             bodies.append(body.lower() if body.isascii() and "<" not in body else body)
@@ -103,13 +105,10 @@ _words: dict[str, Words] = {}
 def pieces_of(batches, path: str, capacity: int, end_id: int):
     words = _words.get(path) or _words.setdefault(path, Words(path))
     for batch in batches:
-        text, doc = batch.column("text").fill_null("").cast(pa.string()), batch.column("doc_id")
-        sizes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
-        cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(SLICE_BYTES, sizes[-1] if len(sizes) else 0, SLICE_BYTES)) + 1, len(sizes)])
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            ids, at = words.encode(text.slice(a, b - a))
+        for texts, own_rows in slices(batch, SLICE_BYTES):
+            ids, at = words.encode(texts)
             rows, piece, start, length, crc = [], [], [], [], []
-            for i in range(b - a):
+            for i in range(len(texts)):
                 own = np.append(ids[at[i] : at[i + 1]], end_id).astype("<u4")
                 for k in range(0, len(own), capacity):
                     part = own[k : k + capacity]
@@ -118,93 +117,167 @@ def pieces_of(batches, path: str, capacity: int, end_id: int):
                     start.append(k)
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))
-            yield pa.RecordBatch.from_arrays([doc.slice(a, b - a).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([own_rows.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token pieces of every document: whole documents of at most `capacity` ids, longer ones cut into pieces of it."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: pieces_of(batches, path, capacity, end_id), schema)
+    return dealt(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda batches: pieces_of(batches, path, capacity, end_id), schema)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Rounds of best fit over runs of equal lengths and equal gaps, longest lengths first.
+SWEPT = "item long, length long, seq long, slot long, gap long, part long, rank long"
 
-    In each round the next length's documents, ordered by rank, meet their successor: the smallest gaps that hold
-    them, a run of equal gaps at a time. Where documents compete for a run of gaps, rank decides; the others go to
-    the next larger gaps or open sequences. Filled gaps become smaller gaps for the rounds that follow. There are at
-    most `capacity` lengths and gap sizes, so this state doesn't grow with the data.
 
-    Returns runs (first rank among all documents by rising length, first sequence, offset) and the sequences' number.
-    """
-    lengths = sorted(counts)
-    first = dict(zip(lengths, np.cumsum([0, *(counts[x] for x in lengths)]).tolist()))
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []
-    out: list[tuple[int, int, int]] = []
-    sequences = 0
-
-    def leave(gap: int, base: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                insort(sizes, gap)
-            gaps.setdefault(gap, []).append((base, n))
-
-    for length in reversed(lengths):
-        rank, left = first[length], counts[length]
-        while left:
-            i = bisect_left(sizes, length)
-            if i == len(sizes):
-                fits = capacity // length
-                full, rest = divmod(left, fits)
-                for k in range(fits if full else 0):
-                    out.append((rank + k * full, sequences, k * length))
-                leave(capacity - fits * length, sequences, full)
-                for k in range(rest):
-                    out.append((rank + fits * full + k, sequences + full, k * length))
-                leave(capacity - rest * length, sequences + full, 1 if rest else 0)
-                sequences += full + (1 if rest else 0)
-                left = 0
-            else:
-                gap = sizes[i]
-                base, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-                    sizes.pop(i)
-                used = min(n, left)
-                out.append((rank, base, capacity - gap))
-                leave(gap, base + used, n - used)
-                leave(gap - length, base, used)
-                rank, left = rank + used, left - used
-    runs = np.array(sorted(out), np.int64).reshape(-1, 3)
-    return runs[:, 0], runs[:, 1], runs[:, 2], sequences
-
-
-def placer(rank: np.ndarray, base: np.ndarray, offset: np.ndarray, names: list[str]):
-    def place(batches):
-        for batch in batches:
-            at = batch.column("index").to_numpy()
-            i = np.searchsorted(rank, at, "right") - 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(base[i] + at - rank[i]), pa.array(offset[i])], names=[*names, "sequence_id", "offset"])
+def swept(batches):
+    """Matches a task's rows, sorted by falling size with slots before documents: every document takes the smallest
+    slot before it that is still free, as closing brackets take opening ones.
 
-    return place
+    A walk that goes up at a slot and down at a document crosses each level in turns, so a document's slot is the row
+    before it among those that cross its level. What finds no partner within the task is numbered in order: documents
+    that need slots of earlier tasks, then slots left for later ones.
+    """
+    got = list(batches)
+    rows = pa.Table.from_batches(got).combine_chunks() if got else None
+    if rows is None or not rows.num_rows:
+        return
+    is_slot = rows.column("item").is_null().to_numpy()
+    level = np.cumsum(np.where(is_slot, 1, -1)) - is_slot
+    order = np.argsort(level, kind="stable")
+    pair = (level[order[1:]] == level[order[:-1]]) & ~is_slot[order[1:]]
+    doc, slot = order[1:][pair], order[:-1][pair]
+    free = np.ones(len(level), bool)
+    free[doc] = free[slot] = False
+    for d, s in ((doc, slot), (np.flatnonzero(free & ~is_slot), None), (None, np.flatnonzero(free & is_slot))):
+        n, own = len(s if d is None else d), {}
+        for names, at in ((("item", "size"), d), (("seq", "slot", "gap"), s)):
+            own |= {c: pa.nulls(n, pa.int64()) if at is None else rows.column(c).take(pa.array(at)).combine_chunks() for c in names}
+        alone = d is None or s is None
+        part = [pa.array(np.full(n, TaskContext.get().partitionId())), pa.array(np.arange(n))] if alone else [pa.nulls(n, pa.int64())] * 2
+        yield pa.RecordBatch.from_arrays([*own.values(), *part], names=["item", "length", "seq", "slot", "gap", "part", "rank"])
+
+
+def spans(ends: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Which ranges' slots the documents of later ranges take. ends: range, its documents and slots without a partner.
+
+    Returns (range, first document, end, range of the slots, last slot): the documents from the first to before the
+    end take the slots from the last one downwards, the smallest first."""
+    open_slots: list[list[int]] = []
+    out = []
+    for part, docs, slots in sorted(ends):
+        at = 0
+        while at < docs and open_slots:
+            other, held = open_slots[-1]
+            n = min(docs - at, held)
+            out.append((part, at, at + n, other, held - 1))
+            at += n
+            open_slots[-1][1] -= n
+            if n == held:
+                open_slots.pop()
+        if slots:
+            open_slots.append([part, slots])
+    return out
+
+
+def matched(todo: DataFrame, gaps: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame, int]:
+    """One superstep: documents (item, length from low to high) take the smallest gaps (seq, gap) that hold them.
+
+    A gap offers as many slots of `high` as it holds, and what is over as a slot of its own. Slots and documents are
+    range-sorted together and swept (swept). Documents that found no slot in their range take those of earlier ranges
+    by rank (spans: a row or two for each range). Returns what was taken (item, length, seq, slot, gap), the documents
+    left, and their number."""
+    spark = todo.sparkSession
+    each = F.floor(F.col("gap") / high)
+    slots = gaps.where(F.col("gap") >= low).select("seq", "gap", F.explode(F.sequence(F.lit(0).cast("long"), each)).alias("slot"))
+    slots = slots.withColumn("size", F.when(F.col("slot") < each, F.lit(high)).otherwise(F.col("gap") % high).cast("long")).where(F.col("size") >= low)
+    empty = F.lit(None).cast("long")
+    rows = todo.select("item", F.col("length").alias("size"), *(empty.alias(c) for c in ("seq", "slot", "gap"))).unionByName(slots.withColumn("item", empty))
+    keys = [F.col("size").desc(), F.col("item").asc_nulls_first(), F.col("gap"), F.col("seq"), F.col("slot")]
+    met = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(swept, SWEPT))
+    alone = met.where("part is not null")
+    ends = alone.groupBy("part").agg(F.count("item").alias("docs"), F.count("seq").alias("slots")).collect()  # a row for each range
+    links = spans([(r["part"], r["docs"], r["slots"]) for r in ends])
+    taken, left = met.where("part is null").select("item", "length", "seq", "slot", "gap"), alone.where("item is not null")
+    if links:
+        link = F.broadcast(spark.createDataFrame(links, "part long, first long, end long, other long, last long"))
+        found = left.select("item", "length", "part", "rank").join(link, "part").where("rank >= first and rank < end")
+        found = found.select("item", "length", F.col("other").alias("part"), (F.col("last") - F.col("rank") + F.col("first")).alias("rank"))
+        taken = taken.unionByName(found.join(alone.where("item is null").select("part", "rank", "seq", "slot", "gap"), ["part", "rank"]).drop("part", "rank"))
+        upto = F.broadcast(spark.createDataFrame(list({part: end for part, _, end, _, _ in links}.items()), "part long, upto long"))
+        left = left.join(upto, "part", "left").where(F.col("rank") >= F.coalesce("upto", F.lit(0)))
+    return taken, left.select("item", "length"), sum(r["docs"] for r in ends) - sum(end - first for _, first, end, _, _ in links)
+
+
+def opened(todo: DataFrame, capacity: int, used: int) -> tuple[DataFrame, int]:
+    """Documents without a gap in new sequences, numbered from `used`: by falling length, as many in one as its
+    documents all fit. Returns item, length, seq, slot, and the number of sequences in use."""
+    fits = F.floor(F.lit(capacity) / F.col("length"))
+    ranked = running(todo.select("item", "length", F.negative("length").alias("fall"), fits.alias("fits")), ["fall", "item"], {"index": None})
+    begins, rows = ranked.groupBy("fits").agg(F.min("index").alias("begin"), F.count("*").alias("n")).orderBy("fits").collect(), []  # capacity rows at most
+    for r in begins:
+        rows.append((r["fits"], r["begin"], used))
+        used += -(-r["n"] // r["fits"])
+    rank = F.col("index") - F.col("begin")
+    seated = ranked.join(F.broadcast(todo.sparkSession.createDataFrame(rows, "fits long, begin long, base long")), "fits")
+    return seated.select("item", "length", (F.col("base") + F.floor(rank / F.col("fits"))).alias("seq"), (rank % F.col("fits")).alias("slot")), used
+
+
+def best_fit(items: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
+    """Bulk-synchronous best fit of items (item, length): returns item, sequence_id, offset.
+
+    Lengths go by falling classes, each half as long as the one before. Within a class, supersteps (matched) run until
+    all its documents are placed or hardly a gap holds one; every superstep updates the gaps for the next. Documents left
+    open new sequences (opened), whose gaps serve the classes that follow. Every state is a table: the driver holds
+    counts of lengths (at most `capacity`) and a row or two for each range.
+    """
+    spark = items.sparkSession
+    gaps = written(spark.createDataFrame([], "seq long, gap long"))
+    placed, used, most, high = spark.createDataFrame([], "item long, sequence_id long, offset long"), 0, 0, capacity
+
+    def settle(rows: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Places of rows (item, length, seq, slot, gap), the gaps that they leave, and the largest of these."""
+        before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))  # capacity rows at most
+        step = rows.select("item", F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.coalesce(before, F.lit(0))).alias("offset"))
+        rest = gaps.unionByName(rows.select("seq", F.negative("length").alias("gap"))).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
+        seen = Observation()
+        return step, written(rest.observe(seen, F.max("gap").alias("most"))), seen.get["most"] or 0
+
+    while high:
+        low = high // 2 + 1 if high > SMALL else 1
+        own = [x for x in counts if low <= x <= high]
+        left = sum(counts[x] for x in own)
+        todo = items.where(F.col("length").between(low, high))
+        high = low - 1
+        while left and most >= min(own):
+            taken, rest, n = matched(todo, gaps, min(own), max(own))
+            step, gaps, most = settle(taken, gaps)
+            placed, todo, slow, left = placed.unionByName(step), rest, n > 0.9 * left, n
+            if slow:
+                break
+        if left:
+            rows, end = opened(todo, capacity, used)
+            fresh = spark.range(used, end).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+            step, gaps, most = settle(rows.withColumn("gap", F.lit(capacity)), gaps.unionByName(fresh))
+            placed, used = placed.unionByName(step), end
+    return placed
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Packs all documents into sequences of at most `capacity` tokens.
 
-    Pieces are range-sorted by length (a distributed sort gives each its rank), the lengths' counts drive rounds of
-    best fit (best_fit), and each piece finds its sequence and offset by its rank among the runs placed.
+    Pieces are numbered by a distributed range sort, placed by supersteps of best fit (best_fit), and joined with
+    their places by number.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text counts as empty: a document of
-    the end id alone. Repeated rows and null doc_ids are packed as documents of their own; an empty table gives no
-    rows; other columns are left out.
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id (from 0, gapless), offset. Null text counts as empty:
+    a document of the end id alone. Very long texts are cut into pieces of `capacity`. Repeated rows and null doc_ids
+    are packed as documents of their own; ties of length go by doc_id, piece and digest; an empty table gives no rows;
+    other columns, whatever their names, are left out.
     """
     cut = written(pieces(docs, path, capacity, end_id))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    rank, base, offset, _ = best_fit(counts, capacity)
-    ranked = running(cut, ["length", "doc_id", "piece", "ids_crc32"], {"index": None})
-    return ranked.mapInArrow(placer(rank, base, offset, cut.columns), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = written(running(cut, ["length", "doc_id", "piece", "ids_crc32"], {"item": None}))
+    placed = best_fit(ranked.select("item", "length"), counts, capacity)
+    return ranked.join(placed, "item").select(*cut.columns, "sequence_id", "offset")
 
 
 def op3_pack(spark, sf_dir: str) -> DataFrame:

@@ -1,312 +1,220 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over all their words, and over marking terms."""
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
-
-EXAMPLES = 6_000  # labelled documents learned from, of each class; the only bound on what is learned
-TERMS = 4_096
-NEAREST = 15
-BLOCK = 64
-PRIOR = 2.0
-COMMON = 512  # words held as dense columns of the word index
-TOGETHER = 64  # texts that meet the dense columns at once
-SAME = 0.001
-STEMS = (4, 5, 6)
-
-WORD = re.compile(r"[^\W\d_]+")
-
+from .common import dealt, slices, table, written
+
+EXAMPLES = 3_000  # labelled documents learned from, of each class; the only bound on what is learned
+NEAREST = 50
+EVIDENCE = 3
+ASIDE = 5  # one in so many examples is held against an index of the others, to calibrate the votes
+BLOCK = 64  # examples in an index block
+COMMON = 512  # words held as dense columns of a block
+FIRST = 4  # blocks that a text meets before its bounds are proved
+TOGETHER, POSTINGS = 128, 2_000_000  # texts, and postings, that are added up at once
+PRIOR, SAME = 2.0, 0.001
+STEADY = 4.0  # pseudo-examples that hold the calibration to the votes as they are
+SLICE_BYTES = 4 << 20
+NO_LETTERS = r"[^\pL]+"
+
+
+def term_counts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of texts and, for each text and word in it: the text's place, the word's and its count.
+    Words are runs of letters in lower case. Null counts as empty."""
+    split = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("").cast(pa.string())), pattern=NO_LETTERS)
+    coded = split.flatten().dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    if "" in words:
+        some = codes != words.index("")
+        doc, codes = doc[some], codes[some]
+    key, count = np.unique(doc * max(1, len(words)) + codes, return_counts=True)
+    return words, key // max(1, len(words)), key % max(1, len(words)), count
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all segments (begin, size) one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-def words_of(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
 
+class Index:
+    """Unit TF-IDF vectors of the examples over all their words, inverted. Nothing is left out of a vector.
 
-def terms_of(words: Counter) -> Counter:
-    """Words and, for longer words, their stems of STEMS letters (marked by a star)."""
-    out = Counter(words)
-    for w, n in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                out[w[:k] + "*"] += n
-    return out
-
-
-def counted(batches):
-    """For each term, how many of a task's documents of each class hold it, and how often (three times a document at most)."""
-    docs, uses = (Counter(), Counter()), (Counter(), Counter())
-    for batch in batches:
-        for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            terms = terms_of(words_of(text))
-            docs[y].update(terms.keys())
-            uses[y].update({t: min(n, 3) for t, n in terms.items()})
-        if len(docs[0]) + len(docs[1]) > 300_000:
-            yield flushed(docs, uses)
-            docs, uses = (Counter(), Counter()), (Counter(), Counter())
-    yield flushed(docs, uses)
-
-
-def flushed(docs: tuple, uses: tuple):
-    terms = list(docs[0].keys() | docs[1].keys())
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (docs[1], docs[0], uses[1], uses[0]))], names=["term", "toxic", "clean", "toxic_uses", "clean_uses"])
-
+    Examples lie in blocks of BLOCK, ordered by their heaviest word so that blocks differ. Of the COMMON most frequent
+    words a block holds dense columns and each column's largest weight; other words are postings. A text's bound for a
+    block is the sum of its weights times the block's largest, in which postings count exactly.
+    """
 
-class Index:
-    """Unit TF-IDF vectors of the examples, inverted: for each term its postings by example, and for each block of
-    BLOCK examples the largest weight (block-max). Examples are ordered by their heaviest term, so that blocks differ."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int], int]]):
-        self.terms = {t: i for i, t in enumerate(sorted(idf))}
-        self.idf = np.array([idf[t] for t in sorted(idf)])
-        self.rest = 0.0
-        self.rest = self.pivot(examples)
-        rows = []
-        for doc, y, counts, length in examples:
-            ids, w = self.vector(counts, length)
-            rows.append((int(ids[w.argmax()]), doc, y, ids, w))
-        rows.sort(key=lambda r: r[:2])
-        self.docs, self.labels = [r[1] for r in rows], np.array([r[2] for r in rows], float)
-        self.blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((len(self.terms) + 1, max(1, self.blocks)))
-        at, held, weight = [], [], []
-        for j, (_, _, _, ids, w) in enumerate(rows):
-            np.maximum.at(self.most, (ids, j // BLOCK), w)
-            at.append(ids)
-            held.append(np.full(len(ids), j))
-            weight.append(w)
-        term = np.concatenate(at) if at else np.zeros(0, int)
-        order = np.argsort(term, kind="stable")  # examples rise within a term
-        self.held, self.weight = (np.concatenate(held)[order], np.concatenate(weight)[order]) if at else (term, np.zeros(0))
-        # where each block begins within a term's postings
-        key = term[order] * max(1, self.blocks) + self.held // BLOCK
-        self.at = np.searchsorted(key, np.arange((len(self.terms) + 1) * max(1, self.blocks) + 1))
-
-    def pivot(self, examples) -> float:
-        """The weight of the rest of a text, a word: between what the terms weigh in clean and in toxic examples."""
-        by: tuple[list, list] = ([], [])
-        for _, y, counts, length in examples:
-            if counts:
-                ids, w = self.weights(counts)
-                by[y].append(float(np.sqrt((w * w).sum())) / max(1, length))
-        toxic = float(np.median(by[1])) if by[1] else 0.1
-        return float(np.sqrt(toxic * (np.median(by[0]) if by[0] else toxic / 16)))
-
-    def weights(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        known = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        ids = np.array([i for i, _ in known], int)
-        return ids, np.array([n for _, n in known], float) * self.idf[ids]
-
-    def vector(self, counts: dict[str, int], length: int) -> tuple[np.ndarray, np.ndarray]:
-        """TF-IDF of the terms and, as one last term, of all other words."""
-        ids, w = self.weights(counts)
-        ids, w = np.append(ids, len(self.terms)), np.append(w, max(1, length) * self.rest)
-        return ids, w / np.sqrt((w * w).sum())
-
-    def nearest(self, counts: dict[str, int], length: int, k: int) -> list[tuple[float, int]]:
-        """The k largest cosines with their examples, exactly: blocks go by descending bound until none can hold a larger one. Ties go to the earlier example."""
-        if not self.blocks:
-            return []
-        ids, w = self.vector(counts, length)
-        bound = w @ self.most[ids]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
-                break
-            scores = np.zeros(BLOCK)
-            for i, x in zip(ids, w):
-                lo, hi = self.at[i * self.blocks + b], self.at[i * self.blocks + b + 1]
-                scores[self.held[lo:hi] - b * BLOCK] += x * self.weight[lo:hi]
-            hit = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((-round(float(s), 12), int(b * BLOCK + j)) for j, s in zip(hit, scores[hit]))])[:k]
-        return [(-s, j) for s, j in best]
-
-
-class WordIndex:
-    """Unit TF-IDF vectors of the examples over all their words, with IDF from all documents; nothing is pruned.
-
-    The COMMON most frequent words are dense columns in single precision, all others are postings; what comes within
-    MARGIN of the k-th best is scored again in double precision, so that the nearest are exact. A word that no example
-    holds adds to a text's length as one that is in a single document."""
-
-    MARGIN = 1e-4
-
-    def __init__(self, words: list[str], df: np.ndarray, documents: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        self.words, self.n = "\n".join(words), len(examples)
-        self.idf = np.log((1 + documents) / (1 + df)) + 1
-        self.unseen = float(np.log((1 + documents) / 2) + 1)
-        self.docs, self.labels = [r[0] for r in examples], np.array([r[1] for r in examples], float)
-        sizes = [len(r[2]) for r in examples]
-        self.begin = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        self.ids = np.concatenate([np.zeros(0, np.int32), *(r[2] for r in examples)]).astype(np.int32)
-        tf = np.concatenate([np.zeros(0), *(1 + np.log(r[3]) for r in examples)])
-        w = tf * self.idf[self.ids]
-        rows = np.repeat(np.arange(self.n), sizes)
-        self.w = w / np.sqrt(np.bincount(rows, w * w, self.n))[rows]
+    def __init__(self, words: list[str], weight: np.ndarray, unseen: float, docs: np.ndarray, labels: np.ndarray, begin: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        """weight: of each word; unseen: of a word that no example holds; ids and counts of example i from begin[i]."""
+        self.words, self.weight, self.unseen = "\n".join(words), weight, unseen
+        rows = np.repeat(np.arange(len(docs)), np.diff(begin))
+        w = (1 + np.log(counts)) * weight[ids]
+        w = w / np.sqrt(np.bincount(rows, w * w, len(docs)))[rows]
+        heavy = np.zeros(len(docs), np.int64)
+        by = np.lexsort((ids, w, rows))  # each example's heaviest word comes last
+        heavy[rows[by]] = ids[by]
+        order = np.lexsort((docs, heavy))
+        size = np.diff(begin)[order]
+        at = ragged(begin[:-1][order], size)
+        self.docs, self.labels = docs[order], labels[order].astype(float)
+        self.begin, self.ids, self.w = np.r_[0, np.cumsum(size)], ids[at].astype(np.int32), w[at]
+        self.met = self.asked = 0
         self.ready = False
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("words", "n", "idf", "unseen", "docs", "labels", "begin", "ids", "w")} | {"ready": False}
+        return {k: self.__dict__[k] for k in ("words", "weight", "unseen", "docs", "labels", "begin", "ids", "w")} | {"ready": False, "met": 0, "asked": 0}
 
     def prepare(self) -> None:
-        """What is built where it is used: the word table, dense columns and postings."""
-        self.place = places_of(self.words)
-        v = len(self.idf)
-        rows = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.begin))
+        """What is built where it is used: the word table, blocks of dense columns with their maxima, and postings."""
+        self.place = {t: i for i, t in enumerate(self.words.split("\n"))} if self.words else {}
+        v, n = len(self.weight), len(self.docs)
+        self.blocks = -(-n // BLOCK)
+        rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.begin))
         held = np.bincount(self.ids, minlength=v)
-        self.column = np.full(v, -1, np.int32)
         top = np.argsort(-held, kind="stable")[:COMMON]
+        self.column = np.full(v, -1, np.int32)
         self.column[top] = np.arange(len(top))
-        dense = self.column[self.ids] >= 0
-        self.dense = np.zeros((len(top), self.n), np.float32)
-        self.dense[self.column[self.ids[dense]], rows[dense]] = self.w[dense]
-        order = np.argsort(self.ids[~dense], kind="stable")
-        self.held, self.weight = rows[~dense][order], self.w[~dense][order]
-        self.at = np.r_[0, np.cumsum(np.where(self.column < 0, held, 0))]
-        self.scratch = np.zeros(v)
+        common = self.column[self.ids] >= 0
+        self.dense = np.zeros((len(top), self.blocks * BLOCK))
+        self.dense[self.column[self.ids[common]], rows[common]] = self.w[common]
+        self.most = self.dense.reshape(len(top), self.blocks, BLOCK).max(axis=2)
+        order = np.argsort(self.ids[~common], kind="stable")
+        self.held, self.posted = rows[~common][order], self.w[~common][order]
+        self.sizes = np.where(self.column < 0, held, 0)
+        self.at = np.cumsum(self.sizes) - self.sizes
         self.ready = True
 
-    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
-        find = self.place.get
-        at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
-        w = 1 + np.log(np.fromiter(words.values(), float, len(words)))
-        known = at >= 0
-        w *= np.where(known, self.idf[at] if len(self.idf) else 0.0, self.unseen)
-        return at[known], w[known] / (np.sqrt((w * w).sum()) or 1.0)
-
-    def nearest(self, texts: list[Counter], k: int) -> list[list[tuple[float, int]]]:
-        """For each text the k largest cosines with their examples, exactly; ties go to the earlier example."""
-        if not self.n:
-            return [[] for _ in texts]
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of texts: the text's place, the word's and the weight, of words that examples hold. Others add to a text's length only."""
         if not self.ready:
             self.prepare()
+        words, doc, code, count = term_counts(texts)
+        known = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))[code] if words else code
+        w = (1 + np.log(count)) * np.where(known >= 0, self.weight[known] if len(self.weight) else 0.0, self.unseen)
+        w = w / np.sqrt(np.bincount(doc, w * w, len(texts)))[doc]
+        return doc[known >= 0], known[known >= 0], w[known >= 0]
+
+    def nearest(self, texts: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the places and cosines of its k nearest examples, exactly; ties go to the earlier example.
+        Examples that share no word with a text are none."""
+        doc, ids, w = self.vectors(texts)
+        if not self.blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        load = np.r_[0, np.cumsum(self.sizes[ids])][first]
+        out, a = [], 0
+        while a < len(texts):
+            b = max(a + 1, min(a + TOGETHER, int(np.searchsorted(load, load[a] + POSTINGS, "right")) - 1, len(texts)))
+            own = slice(first[a], first[b])
+            out += self.best(b - a, doc[own] - a, ids[own], w[own], k)
+            a = b
+        return out
+
+    def best(self, n: int, doc: np.ndarray, ids: np.ndarray, w: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        m = self.blocks * BLOCK
+        common = self.column[ids] >= 0
+        asked = np.zeros((n, len(self.most)))
+        asked[doc[common], self.column[ids[common]]] = w[common]
+        lens = self.sizes[ids[~common]]
+        at = ragged(self.at[ids[~common]], lens)
+        total = np.bincount(np.repeat(doc[~common] * m, lens) + self.held[at], np.repeat(w[~common], lens) * self.posted[at], n * m).reshape(n, m)
+        bound = total.reshape(n, self.blocks, BLOCK).max(axis=2) + asked @ self.most
+        scores, done = np.zeros((n, m)), np.zeros((n, self.blocks), bool)
+        todo = np.zeros_like(done)
+        np.put_along_axis(todo, np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST], True, axis=1)
+        for _ in range(2):
+            for block in np.flatnonzero(todo.any(axis=0)):
+                rows, own = np.flatnonzero(todo[:, block]), slice(block * BLOCK, block * BLOCK + BLOCK)
+                scores[rows, own] = total[rows, own] + asked[rows] @ self.dense[:, own]
+            done |= todo
+            least = np.partition(scores, m - k, axis=1)[:, m - k] if k < m else np.zeros(n)
+            # a block whose bound is below the k-th best so far can't hold any of the k best
+            todo = ~done & (bound > 0) & (bound >= least[:, None] - 1e-9)
+        self.met, self.asked = self.met + int(done.sum()), self.asked + done.size
         out = []
-        for a in range(0, len(texts), TOGETHER):
-            vectors = [self.vector(x) for x in texts[a : a + TOGETHER]]
-            queries = np.zeros((len(vectors), len(self.dense)), np.float32)
-            for q, (ids, w) in zip(queries, vectors):
-                c = self.column[ids]
-                q[c[c >= 0]] = w[c >= 0]
-            out.extend(self.best(ids, w, near, k) for (ids, w), near in zip(vectors, queries @ self.dense))
+        for row, low in zip(scores, least):
+            some = np.flatnonzero(row >= max(low - 1e-11, 1e-12))
+            exact = np.round(row[some], 11)
+            order = np.lexsort((some, -exact))[:k]
+            out.append((some[order], exact[order]))
         return out
 
-    def best(self, ids: np.ndarray, w: np.ndarray, near: np.ndarray, k: int) -> list[tuple[float, int]]:
-        rare = self.column[ids] < 0
-        own, x = ids[rare], w[rare]
-        lens = self.at[own + 1] - self.at[own]
-        at = np.repeat(self.at[own] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        total = near + np.bincount(self.held[at], np.repeat(x, lens) * self.weight[at], self.n)
-        least = np.partition(total, self.n - k)[self.n - k] if k < self.n else 0.0
-        some = np.flatnonzero((total > 0) & (total >= least - self.MARGIN))
-        if not len(some):
-            return []
-        self.scratch[ids] = w
-        lens = self.begin[some + 1] - self.begin[some]
-        first = np.cumsum(lens) - lens
-        at = np.repeat(self.begin[some] - first, lens) + np.arange(lens.sum())
-        exact = np.round(np.add.reduceat(self.scratch[self.ids[at]] * self.w[at], first), 12)
-        self.scratch[ids] = 0
-        return [(float(exact[i]), int(some[i])) for i in np.lexsort((some, -exact))[:k]]
+
+def odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
+def calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that make votes' log odds fit the labels (Platt), held to 1 and 0 by STEADY pseudo-examples."""
+    x, (a, b) = odds(votes), (1.0, 0.0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        g, h = weights * (p - labels), weights * p * (1 - p)
+        slope = np.array([(g * x).sum() + STEADY * (a - 1), g.sum() + STEADY * b])
+        bend = np.array([[(h * x * x).sum() + STEADY, (h * x).sum()], [(h * x).sum(), h.sum() + STEADY]])
+        step = np.linalg.solve(bend, slope)
+        step *= min(1.0, 2.0 / max(1e-12, float(np.abs(step).max())))
+        a, b = a - float(step[0]), b - float(step[1])
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(a, 0.1), b  # a nearer toxic example never lowers a score
 
 
 class Model:
-    """The two indexes and the calibration of their votes."""
-
-    def __init__(self, index: Index, base: float, words: WordIndex, shares: tuple[float, float] = (1.0, 1.0)):
-        """shares: what a vote of each class counts, by how few of the class were drawn."""
-        self.index, self.base, self.words, self.shares = index, base, words, np.array(shares)
-
-    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
-        """Each text's score, the larger of what its nearest by all words and by marking terms say, and its nearest
-        by all words. A text without words scores the base rate."""
-        counted = [words_of(t) for t in texts]
-        count, out = matcher(self.index.terms), []
-        for text, words, near in zip(texts, counted, self.words.nearest(counted, NEAREST)):
-            hits = count(words)
-            marked = self.score(hits, len(text.split()))[0] if hits else 0.0
-            out.append((max(marked, self.alike(near)), near))
-        return out
+    """The index, what a vote of each class counts, the base rate, and the calibration."""
+
+    def __init__(self, index: Index, shares: tuple[float, float], base: float):
+        self.index, self.shares, self.base, self.fit = index, np.array(shares), base, (1.0, 0.0)
 
-    def alike(self, near: list[tuple[float, int]]) -> float:
+    def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
         """Votes weighted by the odds of their cosines, shrunk to the base rate: a copy decides, far texts say little."""
-        s = np.array([s for s, _ in near])
-        weight = s / (SAME + np.maximum(0.0, 1 - s))
-        labels = self.words.labels[[j for _, j in near]] if near else s
-        weight = weight * self.shares[labels.astype(int)]
-        votes = float((weight * labels).sum())
-        return (votes + PRIOR * self.base) / (float(weight.sum()) + PRIOR)
-
-    def score(self, counts: dict[str, int], length: int) -> tuple[float, list[tuple[float, int]]]:
-        """Votes weighted by closeness, shrunk towards the share of toxic ones among examples without any term."""
-        if not counts:
-            return self.base, []
-        near = self.index.nearest(counts, length, NEAREST)
-        weight = np.array([1 / (0.05 + max(0.0, 1 - s)) for s, _ in near])
-        labels = self.index.labels[[j for _, j in near]] if near else weight
-        weight = weight * self.shares[labels.astype(int)]
-        votes = float((weight * labels).sum())
-        return (votes + PRIOR * self.base) / (float(weight.sum()) + PRIOR), near
-
-
-def matcher(terms: dict[str, int]):
-    """Counts the model's terms, words and stems, among a text's words."""
-    heads = {t[: min(STEMS)] for t in terms if t.endswith("*")}
-
-    def count(words: Counter) -> Counter:
-        hits = Counter()
-        for w, n in words.items():
-            if w in terms:
-                hits[w] += n
-            if w[: min(STEMS)] in heads:
-                for k in STEMS:
-                    if len(w) > k and w[:k] + "*" in terms:
-                        hits[w[:k] + "*"] += n
-        return hits
-
-    return count
+        labels = self.index.labels[at]
+        weight = cosines / (SAME + np.maximum(0.0, 1 - cosines)) * self.shares[labels.astype(int)]
+        return float(((weight * labels).sum() + PRIOR * self.base) / (weight.sum() + PRIOR))
 
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Each text's calibrated score and its nearest examples with their cosines."""
+        near = self.index.nearest(texts, NEAREST)
+        a, b = self.fit
+        return 1 / (1 + np.exp(-(a * odds(np.array([self.vote(*x) for x in near])) + b))), near
 
-def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPLES) -> Model:
-    """A model from labelled rows on which `training` (of doc_id) holds, at most `examples` of each class (by hash, so
-    reruns agree). All words of these examples are indexed, with IDF over all of docs. Besides, terms are words and
-    stems that mark toxic examples: in at least 1 % of them and 3, used at least eight times as often as in clean
-    ones, with a chi-square of 15 or more; at most TERMS of them, by chi-square. Votes and base rate are weighed by the
-    inverse of each class's sampling rate, so that they follow the ratio of all labels whatever the bound."""
-    marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training(F.col("doc_id")))
-    order = F.xxhash64("doc_id", F.lit(11))
-    some = [marked.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples) for y in (0, 1)]
-    drawn = written(some[0].unionByName(some[1]))  # 2 * examples rows at most
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    sample = written(texts.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit("")))).groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("_h"))
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    names = ["toxic", "clean", "toxic_uses", "clean_uses"]
-    counts = written(sample.mapInArrow(counted, "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*(F.sum(c).alias(c) for c in names)))
-    a, b = F.col("toxic"), F.col("clean")
-    rate = ((F.col("toxic_uses") + 0.5) / (n1 + 1)) / ((F.col("clean_uses") + 0.5) / (n0 + 1))
-    chi = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / (F.lit(max(1.0, 1.0 * n1 * n0)) * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1)))
-    chosen = counts.where((a >= max(3, n1 / 100)) & (rate >= 8) & (chi >= 15)).orderBy(chi.desc(), "term").limit(TERMS).collect()
-    idf = {r["term"]: float(np.log((1 + n1 + n0) / (1 + r["toxic"] + r["clean"])) + 1) for r in chosen}
-
-    known = {t: i for i, t in enumerate(idf)}
-    words = sorted(counts.where(~F.col("term").endswith("*")).select("term").toArrow().column("term").to_pylist())  # the words of 2 * examples rows at most
-    place = docs.sparkSession.sparkContext.broadcast("\n".join(words))
-    found = sample.mapInArrow(lambda batches: held_terms(batches, known, place), "doc_id long, toxic int, terms map<string,int>, length int, ids binary, counts binary").collect()  # 2 * examples rows at most
-    rows = sorted(found, key=lambda r: (r["doc_id"], r["toxic"]))
-    bare = [r["toxic"] for r in rows if not r["terms"]]
-    shares = weighed({r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}, {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()})
-    base = (sum(y * shares[y] for y in bare) + 0.5) / (sum(shares[y] for y in bare) + 2.0)
-    df = np.zeros(len(words), np.int64)
-    held = docs.select("text").mapInArrow(lambda batches: word_documents(batches, place), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    df[held.column("id").to_numpy()] = held.column("n").to_numpy()
-    index = WordIndex(words, df, docs.count(), [(r["doc_id"], r["toxic"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows])
-    return Model(Index(idf, [(r["doc_id"], r["toxic"], r["terms"], r["length"]) for r in rows]), base, index, shares)
+
+def listed(batches):
+    """Words and counts of a task's texts, one row for each text."""
+    for batch in batches:
+        for texts, rows in slices(batch, SLICE_BYTES):
+            words, doc, code, count = term_counts(texts)
+            at = pa.array(np.searchsorted(doc, np.arange(len(texts) + 1)), pa.int32())
+            names = pa.array(words, pa.string()).take(pa.array(code))
+            columns = [rows.column("doc_id"), rows.column("toxic").cast(pa.int32()), rows.column("aside"), pa.ListArray.from_arrays(at, names), pa.ListArray.from_arrays(at, pa.array(count, pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "aside", "words", "counts"])
+
+
+def word_documents(batches, words):
+    """For each indexed word, how many of a task's documents hold it."""
+    place = {t: i for i, t in enumerate(words.value.split("\n"))} if words.value else {}
+    df = np.zeros(len(place) + 1, np.int64)  # the last for words that aren't indexed
+    for batch in batches:
+        for texts, _ in slices(batch, SLICE_BYTES):
+            own, _, code, _ = term_counts(texts)
+            df += np.bincount(np.fromiter((place.get(w, len(place)) for w in own), np.int64, len(own))[code], minlength=len(df))
+    some = np.flatnonzero(df[:-1])
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], names=["id", "n"])
+
+
+def marking(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How many deviations a word's share of toxic examples lies from its share of clean ones (the root of chi-square)."""
+    seen, n = toxic + clean, n1 + n0
+    spread = seen * (n - seen) * max(1, n1 * n0)
+    return np.abs(toxic * (n0 - clean) - clean * (n1 - toxic)) * np.sqrt(n / np.maximum(1.0, spread.astype(float)))
 
 
 def weighed(labelled: dict[int, int], drawn: dict[int, int]) -> tuple[float, float]:
@@ -316,51 +224,81 @@ def weighed(labelled: dict[int, int], drawn: dict[int, int]) -> tuple[float, flo
     return inverse[0] / mean, inverse[1] / mean
 
 
-def places_of(words: str) -> dict[str, int]:
-    return {t: i for i, t in enumerate(words.split("\n"))} if words else {}
-
-
-def word_documents(batches, words):
-    """For each indexed word, how many of a task's documents hold it."""
-    place = places_of(words.value)
-    df = np.zeros(len(place), np.int64)
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            own = [i for i in map(place.get, set(WORD.findall((text or "").lower()))) if i is not None]
-            df[own] += 1
-    some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], names=["id", "n"])
+def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPLES) -> Model:
+    """A model from labelled rows on which `training` (of doc_id) holds, at most `examples` of each class (by hash, so
+    reruns agree).
 
+    All are indexed over all their words; one in ASIDE, held against an index of the others, calibrates the votes. A
+    word's weight is (1 + log count) * IDF * (1 + deviations): IDF is counted over all of docs, deviations (marking) are
+    how surely the word tells the classes of the indexed examples apart, 0 for one that doesn't. Votes and base rate are weighed by the inverse of
+    each class's sampling rate, so that they follow the ratio of all labels whatever the bound. What the driver holds
+    are the words of 2 * examples texts at most.
+    """
+    spark = docs.sparkSession
+    marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training(F.col("doc_id")))
+    order = F.xxhash64("doc_id", F.lit(11))
+    some = [marked.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(examples) for y in (0, 1)]
+    drawn = written(some[0].unionByName(some[1]))  # 2 * examples rows at most
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
+    # a drawn doc_id may repeat in docs, with one text or several: equal texts count once, and the bound holds for all
+    once = texts.groupBy(F.xxhash64("text").alias("_h")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = once.orderBy("_h").limit(2 * examples).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(ASIDE)) == 0).alias("aside"))
+    found = sample.mapInArrow(listed, "doc_id long, toxic int, aside boolean, words array<string>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+
+    toxic, aside = (found.column(c).to_numpy().astype(bool) for c in ("toxic", "aside"))
+    coded = pc.list_flatten(found.column("words")).combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    ids, counts = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(found.column("counts")).to_numpy()
+    begin = np.r_[0, np.cumsum(pc.list_value_length(found.column("words")).to_numpy())].astype(np.int64)
+
+    place = spark.sparkContext.broadcast("\n".join(names))
+    held = dealt(docs.select("text")).mapInArrow(lambda batches: word_documents(batches, place), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(names))
+    df[held.column("id").to_numpy()] = held.column("n").to_numpy()
+    n = docs.count()
+    shares = weighed({r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}, {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()})
 
-def held_terms(batches, terms: dict[str, int], words):
-    count, place = matcher(terms), places_of(words.value)
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        own = [words_of(t) for t in texts]
-        found = [count(w) for w in own]
-        ids = [np.fromiter((place[x] for x in w), np.int32, len(w)).tobytes() for w in own]
-        times = [np.fromiter(w.values(), np.int32, len(w)).tobytes() for w in own]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int32())), pa.array([len((t or "").split()) for t in texts], pa.int32()), pa.array(ids, pa.binary()), pa.array(times, pa.binary())], names=["doc_id", "toxic", "terms", "length", "ids", "counts"])
+    def model(some: np.ndarray) -> Model:
+        """Of the examples numbered in some."""
+        size = np.diff(begin)[some]
+        at = ragged(begin[some], size)
+        y = toxic[some]
+        n1, n0 = int(y.sum()), int((~y).sum())
+        by = [np.bincount(ids[at][np.repeat(y == c, size)], minlength=len(names)) for c in (True, False)]
+        known = by[0] + by[1] > 0
+        weight = np.where(known, np.log((1 + n) / (0.5 + df)) * (1 + marking(*by, n1, n0)), np.log((1 + n) / 1.5))
+        index = Index(names, weight, float(np.log((1 + n) / 1.5)), found.column("doc_id").to_numpy()[some], y, np.r_[0, np.cumsum(size)], ids[at], counts[at])
+        return Model(index, shares, (n1 * shares[1] + 0.5) / (n1 * shares[1] + n0 * shares[0] + 2.0))
+
+    whole, left = model(np.arange(len(toxic))), np.flatnonzero(aside)
+    if 0 < len(left) < len(toxic):
+        trial = model(np.flatnonzero(~aside))
+        rows, times = (pc.list_flatten(found.column(c).take(pa.array(left))).to_pylist() for c in ("words", "counts"))
+        cuts = np.r_[0, np.cumsum(np.diff(begin)[left])]
+        texts = [" ".join(x for x, c in zip(rows[a:b], times[a:b]) for _ in range(c)) for a, b in zip(cuts[:-1], cuts[1:])]
+        votes = np.array([trial.vote(*x) for x in trial.index.nearest(pa.array(texts, pa.string()), NEAREST)])
+        whole.fit = calibrated(votes, toxic[left].astype(float), np.array(shares)[toxic[left].astype(int)])
+    return whole
 
 
 def judged(batches, model):
-    """Each batch with the scores and nearest examples of its texts."""
+    """Slices of a task's rows with the scores and nearest examples of their texts."""
     for batch in batches:
-        texts, out = batch.column("text").to_pylist(), []
-        for a in range(0, len(texts), TOGETHER):
-            out.extend(model.value.scores(texts[a : a + TOGETHER]))
-        yield batch, out
+        for texts, rows in slices(batch, SLICE_BYTES):
+            yield rows, *model.value.scores(texts)
 
 
 def scored(batches, model):
-    docs = model.value.words.docs
-    for batch, out in judged(batches, model):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in out], pa.float64()), pa.array([[docs[j] for _, j in near[:3]] for _, near in out], pa.list_(pa.int64())), pa.array([[c for c, _ in near[:3]] for _, near in out], pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
+    docs = model.value.index.docs
+    for rows, scores, near in judged(batches, model):
+        evidence = [docs[at[:EVIDENCE]].tolist() for at, _ in near]
+        cosines = [c[:EVIDENCE].tolist() for _, c in near]
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
 
 
 def passed(batches, model):
-    for batch, out in judged(batches, model):
-        yield batch.filter(pa.array([s < 0.5 for s, _ in out], pa.bool_()))
+    for rows, scores, _ in judged(batches, model):
+        yield rows.filter(pa.array(scores < 0.5))
 
 
 def learnable(doc_id):
@@ -371,23 +309,26 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
     """Every document's toxicity, from its NEAREST labelled examples.
 
     Returns doc_id, held_out (its label was not to be learned from: crc32 of the doc_id as text is divisible by 5),
-    score, predicted, evidence (doc_ids of the three nearest examples by all words) and their cosines. A text without
-    words, such as an empty or null one, or without any word of the examples has no neighbours and scores the base
-    rate. Null doc_ids
-    count as not held out; repeated rows are scored alike; empty documents give no rows, empty labels a score of the
-    base for all. Labels, lang and source play no part in a score. The model (at most 2 * examples vectors over
-    their words) is what is broadcast.
+    score, predicted, evidence (doc_ids of the three nearest examples) and their cosines. Equal cosines go to the
+    example that comes first in the index. A text without words, such as an empty or null one, or without any word of
+    the examples has no neighbours and scores the calibrated base rate. Whole texts are searched, whatever their
+    length. Null doc_ids count as not held out; repeated rows are scored alike; a doc_id that repeats in labels is
+    toxic if any of its rows is; empty documents give no rows, empty labels a score of the base for all. Labels, lang
+    and source play no part in a score; other columns, whatever their names, are left out. The model (at most 2 *
+    examples vectors over their words) is what is broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, learnable, examples))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: scored(batches, model), "doc_id long, score double, evidence array<long>, cosines array<double>")
+    rows = dealt(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(lambda batches: scored(batches, model), "doc_id long, score double, evidence array<long>, cosines array<double>")
     return rows.select("doc_id", F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
 
 
 def clean(docs: DataFrame, labelled: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
-    """docs without those predicted toxic, by a model learned from the texts of `labelled`; columns unchanged. One
-    pass, no join: the texts are judged where they lie. Null and empty texts stay."""
+    """docs without those predicted toxic, by a model learned from the texts of `labelled`; columns unchanged, whatever
+    their names. One pass, no join: the texts are judged where they lie, so rows without doc_id and repeated rows are
+    judged as any other. Null and empty texts stay unless the base rate itself is toxic; a tie at 0.5 is toxic; empty
+    tables give no rows."""
     model = docs.sparkSession.sparkContext.broadcast(learned(labelled, labels, learnable, examples))
-    return docs.mapInArrow(lambda batches: passed(batches, model), docs.schema)
+    return dealt(docs).mapInArrow(lambda batches: passed(batches, model), docs.schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

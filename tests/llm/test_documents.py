@@ -119,22 +119,6 @@ def test_words_are_encoded_as_in_their_text(tokenizer):
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def test_best_fit_places_every_rank_once():
-    r = np.random.default_rng(3)
-    lengths = r.integers(1, 101, 5000)
-    counts = Counter(lengths.tolist())
-    rank, base, offset, n = packing.best_fit(counts, 100)
-    order = np.sort(lengths)
-    at = np.searchsorted(rank, np.arange(5000), "right") - 1
-    seq, off = base[at] + np.arange(5000) - rank[at], offset[at]
-    used = np.zeros(n, int)
-    for s, o, x in sorted(zip(seq, off, order)):
-        assert used[s] == o
-        used[s] += x
-    assert used.max() <= 100 and n <= math.ceil(lengths.sum() / 100) * 1.01 + 1
-    assert packing.best_fit({}, 100)[3] == 0
-
-
 def test_media(odd, odd_rows, none):
     got = media.digests(odd).collect()
     want = Counter()
@@ -250,19 +234,6 @@ def test_clean(judged):
     assert sum(i in kept for i, y in truth.items() if not y) >= 495 and sum(i in kept for i, y in truth.items() if y) <= 5
 
 
-def test_nearest_examples_are_exact():
-    r = np.random.default_rng(4)
-    idf = {f"t{i}": float(1 + r.random()) for i in range(30)}
-    examples = [(i, int(i % 3 == 0), {f"t{j}": int(r.integers(1, 4)) for j in r.choice(30, r.integers(0, 6), False)}, int(r.integers(10, 60))) for i in range(500)]
-    index = toxicity.Index(idf, examples)
-    by = {d: index.vector(c, n) for d, _, c, n in examples}
-    for _, _, counts, length in examples[:60]:
-        ids, w = index.vector(counts, length)
-        q = dict(zip(ids.tolist(), w))
-        plain = sorted((round(sum(q.get(i, 0) * x for i, x in zip(*map(np.ndarray.tolist, by[d]))), 9) for d in by), reverse=True)[:15]
-        assert [round(s, 9) for s, _ in index.nearest(counts, length, 15)] == pytest.approx(plain, abs=1e-8)
-
-
 def test_licenses(spark, none):
     mit = licenses.TEXTS["MIT"]
     rows = [(1, mit), (2, "Copyright (c) 2020 Some One\n" + mit.upper().replace(",", "")), (3, mit + " more"), (4, None), (5, ""), (6, "RELEASED under the MIT licence"), (None, licenses.TEXTS["ISC"]), (2, licenses.TEXTS["ISC"])]
