@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import dealt, slices, table, written
+from .common import dealt, released, slices, table, written
 
 HASHES = 64
 TREES = 16
@@ -20,6 +22,7 @@ NEIGHBOURS = 3
 WINDOW = 2048
 MEMBER_BLOCK, REST_BLOCK = 1_000_000, 250_000  # shingles in a block
 SLICE_BYTES = 8 << 20
+NO_ID = -(1 << 63)  # in place of a null doc_id where rows are found by it
 #: Pairs whose 2-bit sketches differ in more of the 64 places are no candidates: a pair of similarity 0.8 differs in 9.6 of them, 22 is 4.3 deviations away.
 SKETCH_LIMIT = 22
 
@@ -70,11 +73,11 @@ def digest(s: np.ndarray) -> bytes:
     return (int(s.sum()) << 64 | int(stirred(s ^ MIX[HASHES + 30]).sum())).to_bytes(16, "big")
 
 
-NODE = "node binary, n int, sig binary, s1 long, s2 long"
+NODE = "text_hash long, node binary, n int, sig binary, s1 long, s2 long"
 
 
 def signed(batches, k: int):
-    """doc_id and, for each document, its set's digest (node), size, signature and sketch."""
+    """doc_id, text_hash and, for each document, its set's digest (node), size, signature and sketch."""
     bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for batch in batches:
         for texts, rows in slices(batch, SLICE_BYTES):
@@ -86,10 +89,10 @@ def signed(batches, k: int):
                 sig.append(low.tobytes() if len(s) else None)
                 s1.append(int(bit[(low & 1).astype(bool)].sum()) if len(s) else 0)
                 s2.append(int(bit[(low & 2).astype(bool)].sum()) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64))], names=["doc_id", "node", "n", "sig", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64))], names=["doc_id", "text_hash", "node", "n", "sig", "s1", "s2"])
 
 
-PAIR = "a binary, b binary, region binary, node binary, n int"
+PAIR = "a long, b long, region binary, node long, n int"
 
 
 def alike(x1, x2, y1, y2) -> np.ndarray:
@@ -110,7 +113,7 @@ def neighbours(batches):
         n = len(rows)
         if n == 1 and not edge:
             return
-        node, order = rows["node"].to_numpy(object), rows["ord"].to_numpy(object)
+        node, order = rows["node"].tolist(), rows["ord"].to_numpy(object)
         x1, x2 = rows["s1"].to_numpy().view(np.uint64), rows["s2"].to_numpy().view(np.uint64)
         pairs: set[tuple[int, int]] = set()
 
@@ -146,7 +149,7 @@ def neighbours(batches):
             region = order[0][: 1 + 4 * DEPTH]
             out += [(None, None, region, v, k) for v, k in zip(node, rows["n"].tolist())]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "region", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()))], names=["a", "b", "region", "node", "n"])
 
     held, first = None, True
     for batch in batches:
@@ -177,7 +180,7 @@ def crossing(percent: int):
     """Links between a block of a region's rest and a block of its members, on whole sets; one for each node and other component is enough."""
 
     def run(rest: pa.Table, members: pa.Table) -> pa.Table:
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple[int, int]] = []
         if rest.num_rows and members.num_rows:
             column = members.column("set").combine_chunks()
             lens = column.value_lengths().to_numpy()
@@ -197,27 +200,34 @@ def crossing(percent: int):
                     if labels[j] not in seen:
                         seen.add(labels[j])
                         found.append((min(node, names[j]), max(node, names[j])))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label (the component's smallest node) for every node in links.
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """node, label (the component's smallest node) for every node in links. start: labels known from some of the links.
 
     Labels take the smallest of their neighbours' and then their label's label, until none changes. Every step is a
-    join of written tables, so that Spark splits a label with very many nodes.
+    join of written tables, so that Spark splits a label with very many nodes; tables of earlier steps are deleted.
     """
     both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    own = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+    labels = own.select("node", F.least("node", "low").alias("label"))
+    if start is not None:
+        labels = labels.unionByName(start).groupBy("node").agg(F.min("label").alias("label"))
+    labels = written(labels)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("low")).withColumnRenamed("a", "node")
         step = written(labels.join(near, "node", "left").select("node", F.least("label", "low").alias("label"), F.col("label").alias("old")))
         roots = step.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = written(step.join(roots, "label", "left").select("node", F.least("label", "root").alias("label"), "old"))
-        labels = jumped.select("node", "label")
-        if jumped.where(F.col("label") != F.col("old")).limit(1).count() == 0:
-            return labels
+        changed = Observation()
+        jumped = written(step.join(roots, "label", "left").select("node", F.least("label", "root").alias("label"), "old").observe(changed, F.max((F.col("label") != F.col("old")).cast("int")).alias("any")))
+        released(step, labels)
+        labels = jumped
+        if not changed.get["any"]:
+            released(both)
+            return labels.select("node", "label")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -230,12 +240,22 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id). Texts without
     words, null ones too, have no shingles and are alone. Rows that repeat a doc_id with another text are nodes of
-    their own; a null doc_id is never the smallest unless all are null. An empty table gives no rows; other columns
-    are left out.
+    their own; a null doc_id is never the smallest unless all are null. Texts of any length are read whole, in parts
+    of a batch. An empty table gives no rows; other columns, whatever their names, are left out.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    named = related(docs, k, percent)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def related(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every row's doc_id, text_hash and n (its set's size), and of its component: component_id (the smallest doc_id)
+    and the text_hash of one row that has it (kept_hash). Both are null without words."""
+    rows = dealt(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("text_hash", F.xxhash64("text"))
     found = written(rows.mapInArrow(lambda batches: signed(batches, k), "doc_id long, " + NODE))
-    nodes = written(found.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
+    first_row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    own = found.where("n > 0").groupBy(F.col("node").alias("digest")).agg(F.min(first_row).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    nodes = written(own.withColumn("node", F.monotonically_increasing_id()))  # the numbers stay as they are written
 
     turned = F.concat("sig", "sig")
     trees = [F.concat(F.unhex(F.lit(f"{t:02x}")), F.substring(turned, 1 + 4 * DEPTH * t, 4 * DEEPEST)) for t in range(TREES)]
@@ -244,19 +264,22 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = written(met.where("region is null").select("a", "b").distinct())
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        """Sets are made again from the texts of the documents in a pair; they are too large to keep for all."""
+        """Sets are made again from one text of each node in a pair; they are too large to keep for all. Rows are found
+        by doc_id and text hash together, neither of which may be null here, so that a repeated one multiplies nothing."""
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        chosen = nodes.join(asked, "node", "left_semi").select("node", "least")
-        one = found.where("n > 0").join(chosen.withColumnRenamed("node", "_n"), (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi").select("doc_id", "node").distinct()
-        texts = rows.alias("r").join(one.select(F.col("doc_id").alias("_d"), "node"), F.col("doc_id").eqNullSafe(F.col("_d"))).select("text", "node")
-        exact = texts.mapInArrow(lambda batches: of_node(batches, k), "node binary, set array<long>")
-        return written(exact.dropDuplicates(["node"]))
-
-    links = written(confirmed(first, sets_of(first), percent))
+        chosen = nodes.join(asked, "node", "left_semi").select("node", "digest", F.coalesce("least.doc_id", F.lit(NO_ID)).alias("id"), F.col("least.text_hash").alias("text_hash"))
+        texts = rows.select("text", "text_hash", F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).join(chosen, ["id", "text_hash"]).select("text", "node", "digest")
+        once = texts.groupBy("node").agg(F.first("text").alias("text"), F.first("digest").alias("digest"))  # copies go before the shuffle
+        return written(once.mapInArrow(lambda batches: of_node(batches, k), "node long, set array<long>"))
+
+    sets = sets_of(first)
+    links = written(confirmed(first, sets, percent))
+    released(sets, first)
     labels = components(links)
 
     # the exact rest of large regions: members outside the largest component against those of other components, in blocks
     members = written(met.where("region is not null").select("region", "node", "n").distinct().join(labels, "node", "left").select("region", "node", "n", F.coalesce("label", "node").alias("label")))
+    released(met)
     held = members.groupBy("region", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     main = held.groupBy("region").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("all")).where("labels > 1")
     blocks = lambda n, size: F.ceil(n / F.lit(float(size))).cast("int")
@@ -266,39 +289,44 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sizes = written(rest.select("region", "mb", "rb").distinct())
     if sizes.limit(1).count():
         asked = members.join(sizes, "region").select("region", "node", "label", "mb", "rb")
-        filled = written(asked.join(sets_of(asked.select(F.col("node").alias("a"), F.col("node").alias("b"))), "node"))
-        own = F.xxhash64("node")
+        sets = sets_of(asked.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        filled = written(asked.join(sets, "node"))
+        mixed_up = F.xxhash64("node")
         numbered = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = filled.join(main.select("region", "main"), "region").where("label != main").select("region", "node", "label", "set", F.pmod(own, F.col("rb")).cast("int").alias("r"), numbered("mb").alias("m"))
-        right = filled.select(*(F.col(c).alias(c) for c in ("region", "node", "label", "set")), F.pmod(own, F.col("mb")).cast("int").alias("m"), numbered("rb").alias("r"))
-        more = left.groupBy("region", "r", "m").cogroup(right.groupBy("region", "r", "m")).applyInArrow(crossing(percent), "a binary, b binary")
-        labels = components(written(links.unionByName(more.distinct())))
-
-    least = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(least.join(smallest, "label").select("node", "component_id"))
-    joined = found.select("doc_id", "n", "node").join(named, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        left = filled.join(main.select("region", "main"), "region").where("label != main").select("region", "node", "label", "set", F.pmod(mixed_up, F.col("rb")).cast("int").alias("r"), numbered("mb").alias("m"))
+        right = filled.select(*(F.col(c).alias(c) for c in ("region", "node", "label", "set")), F.pmod(mixed_up, F.col("mb")).cast("int").alias("m"), numbered("rb").alias("r"))
+        more = written(left.groupBy("region", "r", "m").cogroup(right.groupBy("region", "r", "m")).applyInArrow(crossing(percent), "a long, b long").distinct())
+        released(sets, filled)
+        labels = components(links.unionByName(more), labels)
+
+    least = nodes.select("digest", "node", "least").join(labels, "node", "left").select("digest", "least", F.coalesce("label", "node").alias("label"))
+    smallest = least.groupBy("label").agg(F.min("least").alias("least"))
+    named = written(least.select("digest", "label").join(smallest, "label").select(F.col("digest").alias("node"), F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("kept_hash")))
+    released(links, members, sizes, nodes)
+    return found.select("doc_id", "text_hash", "n", "node").join(named, "node", "left").drop("node")
 
 
 def of_node(batches, k: int):
-    """Sets of the texts; a doc_id may repeat with other texts, so the digest is made again and only matching rows stay."""
+    """Sets of the texts, one for each node."""
     for batch in batches:
         for texts, rows in slices(batch, SLICE_BYTES):
-            want = rows.column("node").to_pylist()
-            kept = [(w, s) for w, s in zip(want, shingle_sets(texts, k)) if len(s) and digest(s) == w]
-            at = np.cumsum([0, *(len(s) for _, s in kept)])
-            values = np.concatenate([s for _, s in kept]).view(np.int64) if kept else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))], names=["node", "set"])
+            kept = list(shingle_sets(texts, k))
+            at = np.cumsum([0, *map(len, kept)])
+            values = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values))], names=["node", "set"])
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each near-duplicate component: the smallest doc_id's. Columns unchanged."""
-    kept = groups(docs, k, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    one = rows.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return one.where((F.col("_row") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    """docs with one row of each near-duplicate component: one of the smallest doc_id's, or, where no row of the
+    component has a doc_id, one of its texts. Columns unchanged, whatever their names. Rows without words (null, empty
+    and blank texts) are alone and all stay; repeated rows of a component are one; an empty table gives no rows."""
+    named = related(docs, k, percent).where("n > 0")
+    mark, given = f"_kept_{uuid.uuid4().hex}", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    chosen = named.select(F.coalesce("component_id", F.lit(NO_ID)).alias("id"), F.col("kept_hash").alias("hash")).distinct()
+    rows = docs.withColumn(mark, F.struct(given.alias("id"), F.xxhash64(docs["text"]).alias("hash")))
+    one = rows.join(chosen, (rows[mark]["id"] == chosen["id"]) & (rows[mark]["hash"] == chosen["hash"]), "left_semi").dropDuplicates([mark])
+    # words are runs of anything but ASCII white space
+    return one.unionByName(rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))).select(*docs.columns)
 
 
 def op8_neardup(spark, sf_dir: str) -> DataFrame:
