@@ -18,10 +18,11 @@ UNDATED_LINE = COPYRIGHT_LINE + r"|^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|[\[
 def canonical(text):
     """A text without copyright lines, case, punctuation and white space of its own, in one spelling. Null counts as empty."""
     out = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), UNDATED_LINE, " "))
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    # two spaces between words, so that each word has a space of its own on either side and none shadows the next
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
     for other, one in SPELLINGS:
-        out = F.replace(out, F.lit(f" {other} "), F.lit(f" {one} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {other.replace(' ', '  ')} "), F.lit(f" {one.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
@@ -30,7 +31,8 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     Texts are made canonical (canonical) and their digests joined with those of the known texts, a table whose size
     is the number of known licences. Returns doc_id, text_sha256 (of the canonical text), license (null if none).
     Null and empty texts, and any without letters or digits, are no licence; repeated rows stay; two known texts that
-    are the same canonically count as the first by name; an empty table gives no rows; other columns are left out.
+    are the same canonically count as the first by name; texts of any length are read whole; an empty table gives no rows;
+    other columns, whatever their names, are left out.
     """
     known = docs.sparkSession.createDataFrame(sorted((known_texts() if texts is None else texts).items()), "name string, body string")
     known = known.select("name", F.sha2(canonical(F.col("body")), 256).alias("text_sha256")).groupBy("text_sha256").agg(F.min("name").alias("license"))
@@ -46,10 +48,10 @@ def _sql() -> str:
     """The scan over TEXTS alone, with dated copyright lines: the query knows more, and is the same where a table holds no more."""
     def canon(x: str) -> str:
         out = rf"lower(regexp_replace(coalesce({x}, ''), '{COPYRIGHT_LINE}', ' ', 'g'))"
-        out = rf"' ' || trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+        out = rf"' ' || trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', '  ', 'g')) || ' '"
         for other, one in SPELLINGS:
-            out = f"replace({out}, ' {other} ', ' {one} ')"
-        return f"trim({out})"
+            out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {one.replace(' ', '  ')} ')"
+        return f"trim(replace({out}, '  ', ' '))"
 
     quoted = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in sorted(TEXTS.items()))
     return f"""

@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import dealt, slices, table
 
@@ -104,21 +106,28 @@ def numbers(data: memoryview, at: int, n: int, kind: str, stop: int) -> np.ndarr
 
 
 class Track:
-    """What a file's first track says: codec, time scale, duration, and each sample's place, size and keyframe mark."""
+    """What one track says: handler, codec, time scale, duration, and each sample's place, size and keyframe mark. Of a
+    whole file that is the first track; `start` and `end` are the fields of another `trak` box."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, start: int | None = None, end: int | None = None):
         view = memoryview(data)
-        self.codec, self.scale, self.duration = "", 0, 0
+        if start is None:
+            start, end = next(((a, z) for path, a, z in walked(view) if path == (b"moov", b"trak")), (0, 0))
+        self.handler, self.codec, self.scale, self.duration = "", "", 0, 0
         sizes = chunks = runs = keys = None
-        for path, a, z in walked(view):
+        for path, a, z in walked(view, start, end, (b"moov", b"trak")):
             kind = path[-1]
             if kind == b"mdhd":
                 wide = view[a] == 1
                 self.scale, self.duration = struct.unpack_from(">IQ" if wide else ">II", view, a + (20 if wide else 12))
+            elif kind == b"hdlr":
+                self.handler = bytes(view[a + 8 : a + 12]).decode("latin-1").strip()
             elif path[-2:-1] == (b"stsd",) and not self.codec:
                 self.codec = kind.decode("latin-1").strip()
             elif kind == b"stsz":
                 each, n = struct.unpack_from(">II", view, a + 4)
+                if each * n > len(view):
+                    raise ValueError("more samples than bytes")
                 sizes = np.full(n, each, np.int64) if each else numbers(view, a + 12, n, ">u4", z)
             elif kind in (b"stco", b"co64"):
                 chunks = numbers(view, a + 8, struct.unpack_from(">I", view, a + 4)[0], ">u4" if kind == b"stco" else ">u8", z)
@@ -129,13 +138,21 @@ class Track:
         if sizes is None or chunks is None or runs is None:
             raise ValueError("no sample tables")
         # samples in each chunk, then each sample's place: its chunk's offset and the sizes before it in the chunk
-        each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks))))
+        held = np.diff(np.append(runs[:, 0] - 1, len(chunks)))
+        if (held < 0).any() or not len(sizes) <= int((runs[:, 1] * held).sum()) <= len(sizes) + int(runs[:, 1].max(initial=0)):
+            raise ValueError("chunks and samples differ")
+        each = np.repeat(runs[:, 1], held)
         owner = np.repeat(np.arange(len(chunks)), each)[: len(sizes)]
         before = np.cumsum(sizes) - sizes
         lead = np.r_[0, np.cumsum(each)][:-1]
         self.sizes = sizes
         self.at = chunks[owner] + before - before[np.minimum(lead, max(0, len(sizes) - 1))][owner] if len(sizes) else before
         self.keys = np.arange(len(sizes)) if keys is None else keys
+        if len(self.keys) and not 0 <= self.keys.min() <= self.keys.max() < len(sizes):
+            raise ValueError("a keyframe that is no sample")
+
+    def keyframes(self) -> list[dict]:
+        return [{"offset": a, "length": n} for a, n in zip(self.at[self.keys].tolist(), self.sizes[self.keys].tolist())]
 
     def payload(self, data: bytes) -> bytes:
         """The samples' bytes in order; neighbouring samples are read at once."""
@@ -165,27 +182,49 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(stored, "doc_id long, n_bytes long, media binary")
 
 
-INSPECTED = {"codec": pa.string(), "duration": pa.float64(), "samples": pa.int64(), "keyframes": pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))}
+def tracks(data: bytes) -> tuple[list[Track], str | None]:
+    """A file's tracks, and what is wrong with it: broken files have none, and of a fragmented one only the samples
+    listed in its movie box are known."""
+    try:
+        view = memoryview(data)
+        found = list(walked(view))
+        out = [Track(data, a, z) for path, a, z in found if path == (b"moov", b"trak")]
+        kinds = {path[0] for path, _, _ in found}
+    except (ValueError, struct.error, IndexError) as e:
+        return [], f"broken: {e}"
+    return out, "no track" if not out else "fragmented" if b"moof" in kinds else None
+
+
+KEYFRAMES = "array<struct<offset:bigint,length:bigint>>"
+INSPECTED = {"codec": "string", "duration": "double", "samples": "bigint", "keyframes": KEYFRAMES, "tracks": f"array<struct<handler:string,codec:string,duration:double,samples:bigint,keyframes:{KEYFRAMES}>>", "error": "string"}
 
 
-def inspected(batches, names: list[str]):
+def inspected(batches, kept: list[str], schema: pa.Schema):
     for batch in batches:
-        tracks = [Track(m) if m is not None else None for m in batch.column("media").to_pylist()]
-        own = {
-            "codec": [t and t.codec for t in tracks],
-            "duration": [t.duration / t.scale if t and t.scale else None for t in tracks],
-            "samples": [len(t.sizes) if t else None for t in tracks],
-            "keyframes": [[{"offset": a, "length": n} for a, n in zip(t.at[t.keys].tolist(), t.sizes[t.keys].tolist())] if t else None for t in tracks],
-        }
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(own[c], k) for c, k in INSPECTED.items())], names=[*names, *INSPECTED])
+        rows = []
+        for media in batch.column("media").to_pylist():
+            found, error = tracks(media) if media is not None else ([], None)
+            own = [{"handler": t.handler, "codec": t.codec, "duration": t.duration / t.scale if t.scale else None, "samples": len(t.sizes), "keyframes": t.keyframes()} for t in found]
+            main = next((t for t in own if t["handler"] == "vide"), own[0] if own else {})
+            rows.append([*(main.get(c) for c in ("codec", "duration", "samples", "keyframes")), own if media is not None else None, error])
+        results = [pa.array(c, schema.field(len(kept) + i).type) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], schema.field(len(kept) + i).type) for i in range(len(INSPECTED))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *results], names=schema.names)
 
 
 def inspect(media: DataFrame) -> DataFrame:
     """Codec, duration (seconds), samples and keyframe byte ranges of a column `media` of ISO media files, from their
-    boxes and sample tables alone; the other columns stay (but those of these names). Null media gives nulls."""
-    names = [c for c in media.columns if c not in (*INSPECTED, "media")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields if f.name in names), "codec string, duration double, samples long, keyframes array<struct<offset:long,length:long>>"])
-    return media.select(*names, "media").mapInArrow(lambda batches: inspected(batches, names), schema)
+    boxes and sample tables alone: of the first video track or, without one, the first track; `tracks` has all.
+
+    `error` is null for a sound file, "broken: ..." for one that can't be read, "no track", or "fragmented" for one
+    whose fragments' samples are not in its movie box. Null media gives nulls. All columns but media stay; a result
+    whose name is taken is called media_<name>. An empty table gives no rows.
+    """
+    kept = [c for c in media.columns if c != "media"]
+    names = {c: next(x for x in (c, *("media_" * k + c for k in range(1, 99))) if x not in media.columns) for c in INSPECTED}
+    fields = [*(f for f in media.schema.fields if f.name in kept), *T._parse_datatype_string(", ".join(f"`{names[c]}` {k}" for c, k in INSPECTED.items())).fields]
+    schema = T.StructType(fields)
+    arrow = to_arrow_schema(schema)
+    return media.select(*(f"`{c}`" for c in kept), "media").mapInArrow(lambda batches: inspected(batches, kept, arrow), schema)
 
 
 def digested(batches):

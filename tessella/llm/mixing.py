@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import running, table, written
@@ -32,9 +33,14 @@ def targets_of(sizes: list[int], weights: list[float], cap: int, budget: int) ->
     return out
 
 
-def row_hash(docs: DataFrame):
-    own = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
-    return F.xxhash64(*(x for c in own for x in (F.col(c), F.col(c).isNull())))
+CHUNK = 256  # copies that a task makes of one row
+SOURCES = 10_000  # sources whose plan is sent to all tasks; more are joined by a shuffle
+
+
+def row_hash(docs: DataFrame, seed: int = 0):
+    """A hash of all of a row's columns (but maps, which have none), nulls told from zeros."""
+    own = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.lit(seed), *(x for c in own for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = REPEATS, seed: int = 7) -> DataFrame:
@@ -60,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = REPEATS, seed: int
     plan = docs.sparkSession.createDataFrame([(r["source"], i, r["size"], t, b) for i, (r, t, b) in enumerate(zip(found, shares, before))], "source string, rank int, source_size long, target double, before long")
 
     # one row per source
-    ranked = keys.alias("k").join(F.broadcast(plan).alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).select("k.*", "rank", "source_size", "target", "before", F.xxhash64("row_hash", F.lit(seed)).alias("shuffle"))
+    ranked = keys.alias("k").join((F.broadcast(plan) if len(found) <= SOURCES else plan).alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).select("k.*", "rank", "source_size", "target", "before", F.xxhash64("row_hash", F.lit(seed)).alias("shuffle"))
     queue = written(running(ranked, ["rank", "shuffle", "doc_id", "size"], {"upto": "size", "index": None}))
     start = F.col("upto") - F.col("before")
     offers = queue.where((F.col("size") > 0) & (F.col("target") > 0)).select("index", "size", "target", "upto", "before", "source_size", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("copy"))
@@ -77,12 +83,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = REPEATS, seed: int
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row as often as the mix takes it, columns unchanged. Rows alike in doc_id, text, lang, source and n_chars share what is taken of them evenly."""
-    chosen = mix(docs, **how).groupBy("row_hash").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).where("_all > 0").withColumnRenamed("row_hash", "_hash")
-    rows = docs.withColumn("_hash", row_hash(docs))
-    joined = rows.join(chosen, "_hash").withColumn("_nth", F.row_number().over(Window.partitionBy("_hash").orderBy("_hash")))
-    times = F.floor((F.col("_all") + F.col("_rows") - F.col("_nth")) / F.col("_rows")).cast("int")
-    return joined.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """docs with every row as often as the mix takes it, columns unchanged, whatever their names. Rows alike in all
+    columns share what is taken of them: one of them stands for all, as often as they are taken together, and tasks
+    share its copies. Documents without words (null, empty and blank texts) are not taken; null ids and sources are
+    as in `mix`; an empty table gives no rows."""
+    mark, whole = f"_mixed_{uuid.uuid4().hex}", f"_all_{uuid.uuid4().hex}"
+    key = lambda h, i: F.struct(h.alias("row_hash"), F.coalesce(i.cast("long"), F.lit(0)).alias("id"))
+    chosen = mix(docs, **how).groupBy(key(F.col("row_hash"), F.col("doc_id")).alias(mark)).agg(F.sum("copies").alias(whole)).where(F.col(whole) > 0)
+    one = docs.withColumn(mark, key(row_hash(docs), docs["doc_id"])).dropDuplicates([mark])  # repeated rows go before the shuffle
+    joined = one.join(chosen, mark).withColumn(mark, F.col(whole)).drop(whole)
+    few, many = joined.where(F.col(mark) <= CHUNK), joined.where(F.col(mark) > CHUNK)
+    times = lambda df, n: df.withColumn(mark, F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    chunks = many.withColumn(mark, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col(mark) - 1) / CHUNK)), lambda i: F.least(F.lit(CHUNK).cast("long"), F.col(mark) - i * CHUNK))))
+    return times(few, F.col(mark)).unionByName(times(chunks.repartition(F.rand(7)), F.col(mark))).select(*docs.columns)
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:

@@ -321,10 +321,11 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     component has a doc_id, one of its texts. Columns unchanged, whatever their names. Rows without words (null, empty
     and blank texts) are alone and all stay; repeated rows of a component are one; an empty table gives no rows."""
     named = related(docs, k, percent).where("n > 0")
-    mark, given = f"_kept_{uuid.uuid4().hex}", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
-    chosen = named.select(F.coalesce("component_id", F.lit(NO_ID)).alias("id"), F.col("kept_hash").alias("hash")).distinct()
-    rows = docs.withColumn(mark, F.struct(given.alias("id"), F.xxhash64(docs["text"]).alias("hash")))
-    one = rows.join(chosen, (rows[mark]["id"] == chosen["id"]) & (rows[mark]["hash"] == chosen["hash"]), "left_semi").dropDuplicates([mark])
+    mark = f"_kept_{uuid.uuid4().hex}"
+    key = lambda i, h: F.struct(F.coalesce(i.cast("long"), F.lit(NO_ID)).alias("id"), h.alias("hash"))
+    chosen = named.select(key(F.col("component_id"), F.col("kept_hash")).alias(mark)).distinct()
+    rows = docs.withColumn(mark, key(docs["doc_id"], F.xxhash64(docs["text"])))
+    one = rows.join(chosen, mark, "left_semi").dropDuplicates([mark])
     # words are runs of anything but ASCII white space
     return one.unionByName(rows.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))).select(*docs.columns)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left, insort
 from itertools import chain
 
 import numpy as np
@@ -208,18 +209,42 @@ def matched(todo: DataFrame, gaps: DataFrame, low: int, high: int) -> tuple[Data
     return taken, left.select("item", "length"), sum(r["docs"] for r in ends) - sum(end - first for _, first, end, _, _ in links)
 
 
+def filled(batches, capacity: int, base: int):
+    """Best fit of a few rows (item, length) in new sequences from `base`, longest first."""
+    got = list(batches)
+    rows = sorted((-n, i) for b in got for i, n in zip(b.column("item").to_pylist(), b.column("length").to_pylist()))
+    gaps: list[tuple[int, int, int]] = []  # gap, sequence, rows in it
+    out, end = [], base
+    for fall, item in rows:
+        at = bisect_left(gaps, (-fall, -1, 0))
+        if at == len(gaps):
+            gap, seq, n, end = capacity, end, 0, end + 1
+        else:
+            gap, seq, n = gaps.pop(at)
+        out.append((item, -fall, seq, n))
+        insort(gaps, (gap + fall, seq, n + 1))
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 4, names=["item", "length", "seq", "slot"])
+
+
 def opened(todo: DataFrame, capacity: int, used: int) -> tuple[DataFrame, int]:
     """Documents without a gap in new sequences, numbered from `used`: by falling length, as many in one as its
-    documents all fit. Returns item, length, seq, slot, and the number of sequences in use."""
+    documents all fit. What doesn't fill a sequence so, fewer documents of each number that fits than that number, is
+    filled up by one task. Returns item, length, seq, slot, and the number of sequences in use."""
     fits = F.floor(F.lit(capacity) / F.col("length"))
     ranked = running(todo.select("item", "length", F.negative("length").alias("fall"), fits.alias("fits")), ["fall", "item"], {"index": None})
     begins, rows = ranked.groupBy("fits").agg(F.min("index").alias("begin"), F.count("*").alias("n")).orderBy("fits").collect(), []  # capacity rows at most
     for r in begins:
-        rows.append((r["fits"], r["begin"], used))
-        used += -(-r["n"] // r["fits"])
+        rows.append((r["fits"], r["begin"], used, r["n"] // r["fits"] * r["fits"]))
+        used += r["n"] // r["fits"]
     rank = F.col("index") - F.col("begin")
-    seated = ranked.join(F.broadcast(todo.sparkSession.createDataFrame(rows, "fits long, begin long, base long")), "fits")
-    return seated.select("item", "length", (F.col("base") + F.floor(rank / F.col("fits"))).alias("seq"), (rank % F.col("fits")).alias("slot")), used
+    seated = ranked.join(F.broadcast(todo.sparkSession.createDataFrame(rows, "fits long, begin long, base long, whole long")), "fits")
+    full = seated.where(rank < F.col("whole")).select("item", "length", (F.col("base") + F.floor(rank / F.col("fits"))).alias("seq"), (rank % F.col("fits")).alias("slot"))
+    if all(r["n"] == whole for r, (*_, whole) in zip(begins, rows)):
+        return full, used
+    seen = Observation()
+    rest = seated.where(rank >= F.col("whole")).select("item", "length").repartition(1).mapInArrow(lambda batches: filled(batches, capacity, used), "item long, length long, seq long, slot long")
+    rest = written(rest.observe(seen, F.max("seq").alias("last")))
+    return full.unionByName(rest), seen.get["last"] + 1
 
 
 def best_fit(items: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:

@@ -12,9 +12,11 @@ from .common import table, written
 TOP = 10
 SCALE = 1024
 BLOCK = 8192  # vectors in an index block
-QUERIES = 1024  # queries that meet a block at once
+QUERY_BYTES = 32 << 20  # of queries sent to all tasks at once
 LEVELS = 32
-STOPS = (0.7,)
+STOPS = tuple(i / 10 for i in range(1, 10))  # shares of the postings after which a proof is tried
+SMALL, DIMS = 1 << 20, 1 << 11  # components and dimensions whose scores are exact in doubles
+FARTHEST = (1 << 63) - 1
 NO_ID = (1 << 63) - 1
 
 
@@ -35,8 +37,9 @@ class Block:
         #: where each level's segment begins in its dimension
         self.cuts = np.stack([np.searchsorted(r, np.arange(LEVELS + 1)) for r in ranked])
 
-    def best(self, q: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and exact scores of the k highest scores (with ties of the lowest), without position skip."""
+    def best(self, q: np.ndarray, k: int, skip: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and exact scores of the k highest scores (with ties of the lowest), without position skip. Scores
+        below `known` may be left out: the caller has k that are as high."""
         n, dims = self.vectors.shape
         levels = np.arange(LEVELS)
         floor = self.low[:, None] + levels * self.width[:, None]
@@ -44,6 +47,8 @@ class Block:
         count = np.diff(self.cuts, axis=1)
         ranked = np.argsort(-impact, axis=None, kind="stable")
         sent = np.cumsum(count.ravel()[ranked])
+        if impact.max(axis=1).sum() < known:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         acc = np.zeros(n)
         lo, hi = np.zeros(dims, int), self.cuts[:, -1].copy()  # what is left of each dimension
         rising = q <= 0  # the highest impacts lie at the low values
@@ -78,6 +83,7 @@ class Block:
                 least = -np.inf
             else:
                 least = (self.vectors[top] @ q).min()
+            least = max(least, known)
             some = np.flatnonzero(bound >= least)
             if len(some) <= max(4 * k, n // 64) or end == len(ranked):
                 return some[some != skip], self.vectors[some[some != skip]] @ q
@@ -88,66 +94,100 @@ def top_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def searched(k: int):
-    """The best of a candidate block for each of a group of queries."""
-
-    def search(candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        rows = {}
-        for side, got in (("c", candidates), ("q", queries)):
-            lens = np.array(got.column("v").combine_chunks().value_lengths()) if got.num_rows else np.zeros(0, int)
-            flat = got.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, np.int64)
-            at = np.cumsum(lens) - lens
-            ids, rids = got.column("vid").to_numpy(), got.column("rid").to_numpy()
-            for dims in np.unique(lens):
-                own = np.flatnonzero(lens == dims)
-                rows[side, dims] = (flat[at[own][:, None] + np.arange(dims)].reshape(len(own), dims), ids[own], rids[own])
-        for (side, dims), (asked, _, qrids) in rows.items():
-            if side == "c" or ("c", dims) not in rows:
-                continue
-            held, ids, rids = rows["c", dims]
-            most = float(np.abs(held).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(1, dims)
-            block = Block(held) if dims and most < 2**51 else None
-            place = {r: i for i, r in enumerate(rids.tolist())}
-            for q, qrid in zip(asked, qrids.tolist()):
-                skip = place.get(qrid, -1)
-                if block is None:  # too large for exact sums of doubles: whole numbers instead
-                    some = np.flatnonzero(np.arange(len(ids)) != skip)
-                    scores = np.array([sum(x * y for x, y in zip(held[i].tolist(), q.tolist())) for i in some] or [0], object)[: len(some)]
-                    keep = np.array(sorted(range(len(some)), key=lambda i: (-scores[i], ids[some[i]]))[:k], int)
-                else:
-                    some, scores = block.best(q, k, skip)
-                    keep = top_of(scores, ids[some], k)
-                out += [(qrid, int(ids[i]), int(s)) for i, s in zip(some[keep], scores[keep])]
-        columns = list(zip(*out)) or [(), (), ()]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("qrid", "vid", "score"), columns)})
-
-    return search
+def matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors: the places of its rows, and these as a matrix of whole numbers in doubles."""
+    lens, flat = column.value_lengths().to_numpy().astype(np.int64), np.floor(column.flatten().to_numpy())
+    at, out = np.cumsum(lens) - lens, []
+    for dims in np.unique(lens):
+        own = np.flatnonzero(lens == dims)
+        out.append((own, flat[at[own][:, None] + np.arange(dims)].reshape(len(own), dims)))
+    return out
+
+
+def small(rows: np.ndarray) -> np.ndarray:
+    return np.abs(rows).max(axis=1, initial=0) < SMALL if 0 < rows.shape[1] <= DIMS else np.zeros(len(rows), bool)
+
+
+class Best:
+    """The best of each query so far: the vectors' ids, row numbers and scores."""
+
+    def __init__(self, asked: pa.Table, k: int):
+        self.k = k
+        rids = asked.column("rid").to_numpy()
+        self.queries = {rows.shape[1]: (rows, rids[own], small(rows)) for own, rows in matrices(asked.column("v").combine_chunks())} if asked.num_rows else {}
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, qrid: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if qrid in self.found:
+            ids, scores = (np.concatenate(x) for x in zip(self.found[qrid], (ids, scores)))
+        keep = top_of(scores, ids, self.k)
+        self.found[qrid] = ids[keep], scores[keep]
+
+    def meet(self, block: pa.Table) -> None:
+        """All queries of a length meet a block's vectors of that length, over the block's index."""
+        rids, vids = block.column("rid").to_numpy(), block.column("vid").to_numpy()
+        for own, rows in matrices(block.column("v").combine_chunks()):
+            asked, qrids, modest = self.queries.get(rows.shape[1], ((), (), ()))
+            usual = small(rows)
+            index, ids = Block(rows[usual].astype(np.int64)) if usual.any() and len(asked) else None, vids[own[usual]]
+            place = {r: i for i, r in enumerate(rids[own[usual]].tolist())}
+            for q, qrid, plain in zip(asked, qrids.tolist(), modest):
+                if index is not None and plain:
+                    had = self.found.get(qrid)
+                    some, scores = index.best(q.astype(np.int64), self.k, place.get(qrid, -1), had[1][-1] if had and len(had[1]) == self.k else -np.inf)
+                    self.add(qrid, ids[some], scores.astype(np.int64))
+                # too large for exact sums of doubles: whole numbers of any size, held to 64 bits in the end
+                rest = np.flatnonzero(~(usual & plain) & (rids[own] != qrid)) if not plain or not usual.all() else ()
+                if len(rest):
+                    whole = [int(x) for x in q]
+                    scores = [max(-FARTHEST, min(FARTHEST, sum(int(x) * y for x, y in zip(rows[i], whole)))) for i in rest]
+                    self.add(qrid, vids[own[rest]], np.array(scores, np.int64))
+
+
+def searched(batches, asked, k: int):
+    """The best of a task's vectors for each query, block after block; what is known bounds the search of later blocks."""
+    best, held, n = Best(asked.value, k), [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK:
+            best.meet(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        best.meet(pa.Table.from_batches(held))
+    for qrid, (ids, scores) in best.found.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qrid)), pa.array(ids), pa.array(scores)], names=["qrid", "vid", "score"])
 
 
 def nearest(vectors: DataFrame, is_query, k: int = TOP, scale: int = SCALE) -> DataFrame:
     """The k highest inner products of each query with all other rows, on components floor(scale * x).
 
-    Candidates lie in blocks of about BLOCK by hash, queries in groups of QUERIES; each pair of a block and a group is
-    one task's cogroup, searched over the block's index, and a query's best of all blocks are ranked in the end.
+    Vectors are dealt to tasks once and stay there; each task indexes its blocks of BLOCK one after the other and holds
+    every query against them, with what it knows of a query's best as a bound. Queries go to the tasks in parts of
+    QUERY_BYTES. A query's best of all tasks are ranked in the end.
 
     Returns query_id, rank, vec_id, score; ties go to the smaller vec_id (null last). Vectors that are null or hold null or
-    non-finite components take no part; vectors of another length than the query's don't either. Rows that repeat a
-    vec_id are vectors of their own. Scores beyond 64 bits are out of range and fail. An empty table gives no rows.
+    non-finite components take no part; vectors of another length than the query's don't either. Empty vectors score 0
+    with each other. Rows that repeat a vec_id are vectors of their own. Components may be as large as a double; scores
+    beyond 64 bits count as the last number of 64 bits on their side, with ties as any. An empty table gives no rows;
+    other columns, whatever their names, are left out.
     """
-    x = F.col("embedding")
+    spark, x = vectors.sparkSession, F.col("embedding")
     sound = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))
-    ints = F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("long"))
-    # a cast of infinite values must not be reached, so null stands for them before it
-    rows = vectors.where(sound).select("vec_id", F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vid"), ints.alias("v"), F.coalesce(is_query(F.col("vec_id")), F.lit(False)).alias("asks"))
+    most = F.lit(1.7976931348623157e308 / scale)  # a component beyond it, in doubles only, would not be finite when scaled
+    scaled = F.transform(x, lambda v: F.least(F.greatest(v.cast("double"), -most), most) * F.lit(float(scale)))
+    rows = vectors.where(sound).select("vec_id", F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vid"), scaled.alias("v"), F.coalesce(is_query(F.col("vec_id")), F.lit(False)).alias("asks"))
     held = written(rows.withColumn("rid", F.monotonically_increasing_id()))
-    total, asking = held.agg(F.count("*"), F.coalesce(F.sum(F.col("asks").cast("long")), F.lit(0))).first()
-    blocks, groups = max(1, -(-total // BLOCK)), max(1, -(-asking // QUERIES))
-    own = F.xxhash64("rid")
-    candidates = held.select("vid", "rid", "v", F.pmod(own, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    queries = held.where("asks").select("vid", "rid", "v", F.pmod(own, F.lit(groups)).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    found = candidates.groupBy("block", "grp").cogroup(queries.groupBy("block", "grp")).applyInArrow(searched(k), "qrid long, vid long, score long")
-    best = Window.partitionBy("qrid").orderBy(F.col("score").desc(), "vid")
+    total, asking = held.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("asks"), 8 + 8 * F.size("v"))), F.lit(0))).first()
+    parts, tasks = max(1, -(-asking // QUERY_BYTES)), max(1, min(-(-total // BLOCK), 4 * spark.sparkContext.defaultParallelism))
+    dealt = held.select("rid", "vid", "v").repartition(tasks, F.xxhash64("rid"))
+    dealt = written(dealt) if parts > 1 else dealt
+    found = None
+    for part in range(parts):
+        asked = spark.sparkContext.broadcast(held.where("asks").where(F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(parts)) == part).select("rid", "v").toArrow().combine_chunks())  # QUERY_BYTES
+        own = dealt.mapInArrow(lambda batches, asked=asked: searched(batches, asked, k), "qrid long, vid long, score long")
+        found = own if found is None else found.unionByName(own)
+    best = Window.partitionBy("qrid").orderBy(F.col("score").desc(), "vid")  # k rows of each task at most
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     names = held.where("asks").select(F.col("rid").alias("qrid"), F.col("vec_id").alias("query_id"))
     return ranked.join(names, "qrid").select("query_id", "rank", F.nullif("vid", F.lit(NO_ID)).alias("vec_id"), "score")

@@ -11,7 +11,6 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 DEFAULT = "allow"
 PREFIX_HEX = 8  # hex digits of the short hash that is joined on
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MOST_LENGTHS = 256
 
 
 def host_and_path(url):
@@ -31,13 +30,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     back to the pages by (host, path).
 
     Returns page_id, host, path, rule (host and path together, null if none fits), verdict. Null urls and those
-    without "://" have an empty host and path, which no rule fits; repeated rows stay; an empty table gives no rows;
-    other columns are left out.
+    without "://" have an empty host and path, which no rule fits; urls and rules of any length and number of lengths
+    are expanded whole; a rule given twice is one, and of two verdicts on the same host and path the one later in the
+    alphabet holds; repeated rows and null ids stay; an empty table gives no rows, no rules the default for all; other
+    columns, whatever their names, are left out.
     """
     spark = pages.sparkSession
     lengths = sorted({len(p) for _, p, _ in rules})
-    if len(lengths) > MOST_LENGTHS:
-        raise ValueError(f"the rules' paths have {len(lengths)} lengths; {MOST_LENGTHS} are the most")
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
 
@@ -50,7 +49,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels) - i + 1)))
     pairs = rows.where("host <> ''").select("host", "path").distinct()
-    prefixed = pairs.withColumn("prefix", F.explode(F.array_distinct(F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)), lambda x: x.isNotNull()))))
+    own = F.filter(F.lit(lengths) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
+    prefixed = pairs.withColumn("prefix", F.explode(F.transform(own, lambda n: F.substr(F.col("path"), F.lit(1), n))))
     expressed = prefixed.withColumn("suffix", F.explode(F.array_distinct(suffixes))).withColumn("full", digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("full", 1, PREFIX_HEX))
     hits = expressed.join(known, "short").where(F.col("full") == F.col("rule_digest"))
     # grouped by one key that holds both, so that the join below deals its own exchange, which Spark may split

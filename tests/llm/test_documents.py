@@ -38,9 +38,11 @@ def test_shards_are_even_and_repeat(spark):
 
 
 def test_subdivided_ranges():
-    sh, sid = np.array([-5, 0, 0, 7]), np.array([-(2**63), -(2**63), 10, -(2**63)])
-    h, i = np.array([-9, -5, 0, 0, 0, 3, 7, 2**62]), np.array([0, 0, 9, 10, 11, 0, 0, 0])
-    assert sharding.range_of(h, i, sh, sid).tolist() == [0, 1, 2, 3, 3, 3, 4, 4]
+    low = -(2**63)
+    splitters = [(-5, low, low), (0, low, low), (0, 10, low), (0, 10, 5), (0, 10, 9), (7, low, low)]
+    keys = [(-9, 0, 0), (-5, 0, 0), (0, 9, 7), (0, 10, 0), (0, 10, 5), (0, 10, 8), (0, 10, 9), (0, 11, 0), (3, 0, 0), (7, 0, 0), (2**62, 0, 0)]
+    want = [sum(s <= k for s in splitters) for k in keys]
+    assert sharding.range_of(*(np.array(x, np.int64) for x in zip(*keys)), splitters).tolist() == want == [0, 1, 2, 3, 4, 4, 5, 5, 5, 6, 6]
 
 
 def test_targets():
