@@ -139,7 +139,7 @@ class Track:
             raise ValueError("no sample tables")
         # samples in each chunk, then each sample's place: its chunk's offset and the sizes before it in the chunk
         held = np.diff(np.append(runs[:, 0] - 1, len(chunks)))
-        if (held < 0).any() or not len(sizes) <= int((runs[:, 1] * held).sum()) <= len(sizes) + int(runs[:, 1].max(initial=0)):
+        if (held < 0).any() or (runs[:, 1] > len(sizes)).any() or not len(sizes) <= int((runs[:, 1] * held).sum()) <= 2 * len(sizes):
             raise ValueError("chunks and samples differ")
         each = np.repeat(runs[:, 1], held)
         owner = np.repeat(np.arange(len(chunks)), each)[: len(sizes)]
