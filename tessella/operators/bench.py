@@ -21,12 +21,15 @@ def records(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def diff(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Each current record beside its baseline. Time regresses at TIME_GATE percent more that also exceed the
-    baseline's deviation; the ratio bytes_out / bytes_in at RATIO_GATE percent more."""
-    base = baseline.select(*keys, F.col("median_ns").alias("baseline_median_ns"), F.col("sigma_ns").alias("_sigma"), F.try_divide("bytes_out", "bytes_in").alias("baseline_ratio"))
+    baseline's deviation; the ratio bytes_out / bytes_in at RATIO_GATE percent more. A baseline of 0 gates nothing.
+    Where a key repeats in the baseline, its first record counts: by column `position` if there is one, else the least."""
+    fields = F.struct(*([F.col("position")] if "position" in baseline.columns else []), F.col("median_ns").alias("m"), F.col("sigma_ns").alias("s"), F.try_divide("bytes_out", "bytes_in").alias("r"))
+    first = baseline.groupBy(*keys).agg(F.min(fields).alias("_b"))
+    base = first.select(*keys, F.col("_b.m").alias("baseline_median_ns"), F.col("_b.s").alias("_sigma"), F.col("_b.r").alias("baseline_ratio"))
     joined = current.withColumn("ratio", F.try_divide("bytes_out", "bytes_in")).join(base, keys, "left")
     more = F.col("median_ns") - F.col("baseline_median_ns")
-    slower = (100 * more >= TIME_GATE * F.col("baseline_median_ns")) & (more > F.col("_sigma"))
-    larger = F.col("ratio") >= F.col("baseline_ratio") * (1 + RATIO_GATE / 100)
+    slower = (F.col("baseline_median_ns") > 0) & (100 * more >= TIME_GATE * F.col("baseline_median_ns")) & (more > F.col("_sigma"))
+    larger = (F.col("baseline_ratio") > 0) & (F.col("ratio") >= F.col("baseline_ratio") * (1 + RATIO_GATE / 100))
     return joined.select(*keys, "median_ns", "baseline_median_ns", F.coalesce(slower, F.lit(False)).alias("time_regressed"), F.coalesce(larger, F.lit(False)).alias("ratio_regressed"))
 
 

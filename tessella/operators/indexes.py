@@ -25,6 +25,44 @@ def packet_index(packets: DataFrame, keys: list[str], order: list[str], length:
     return packets.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)) + (F.lit(0) if base is None else base))
 
 
+#: What each progression runs through, outermost first (fixed values of ITU-T T.800, B.12); a chunk has one layer.
+PROGRESSIONS = {"LRCP": ("res", "comp", "y", "x"), "RLCP": ("res", "comp", "y", "x"), "RPCL": ("res", "y", "x", "comp"), "PCRL": ("y", "x", "comp", "res"), "CPRL": ("comp", "y", "x", "res")}
+
+
+def sequence(keys: list[str], progression: str, columns: dict[str, str], tie: str) -> Column:
+    """A packet's number, from 1, in a progression. columns: the names of res, comp, y and x; tie orders equal ones."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(*(columns[c] for c in PROGRESSIONS[progression]), tie))
+
+
+def bands(width: Column, height: Column, levels: int, res: Column) -> Column:
+    """The subbands of a resolution as structs: band, x, y (where it lies among all coefficients), width, height."""
+    level = F.lit(levels) - res
+    lw, lh, pw, ph = (level_extent(v, k) for k in (level, level + 1) for v in (width, height))
+    zero = F.lit(0).cast("long")
+    one = lambda name, x, y, w, h: F.struct(F.lit(name).alias("band"), x.alias("bx"), y.alias("by"), w.alias("bw"), h.alias("bh"))
+    return F.when(res == 0, F.array(one("LL", zero, zero, lw, lh))).otherwise(F.array(one("HL", pw, zero, lw - pw, ph), one("LH", zero, ph, pw, lh - ph), one("HH", pw, ph, lw - pw, lh - ph)))
+
+
+def code_blocks(width: Column, height: Column, size: int) -> tuple[Column, Column]:
+    """The numbers of code-blocks of size x size samples along a band."""
+    return F.ceil(width / size).cast("long"), F.ceil(height / size).cast("long")
+
+
+def region_plan(packets: DataFrame, keys: list[str], hit: Column, header: int) -> DataFrame:
+    """Ranges for a region: the main header and the packets that it hits, coalesced."""
+    head = packets.select(*keys, F.lit(0).cast("long").alias("start"), F.lit(header - 1).cast("long").alias("end")).distinct()
+    body = packets.where(hit & (F.col("len") > 0)).select(*keys, F.col("offset").alias("start"), (F.col("offset") + F.col("len") - 1).alias("end"))
+    return coalesced(head.unionByName(body), keys)
+
+
+def stream_bits(grid: list[Column], rate_bits: int, dims: int, header_bits: int) -> Column:
+    """The length of a fixed-rate stream of a grid of bricks."""
+    bricks = F.lit(1).cast("long")
+    for g in grid:
+        bricks = bricks * g
+    return F.lit(header_bits) + bricks * (rate_bits * 4**dims)
+
+
 def prefixes(packets: DataFrame, keys: list[str], res: str = "res") -> DataFrame:
     """For each key and resolution, how far its packets and those of lower resolutions reach."""
     ends = packets.groupBy(*keys, res).agg(F.max(F.col("offset") + F.col("len")).alias("_end"))

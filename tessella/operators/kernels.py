@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..types import AxisTransform
+from ..types import AxisTransform, InvalidArgument
 
 
 def _lift(v: np.ndarray, kind: str) -> np.ndarray:
@@ -53,31 +53,58 @@ def _segment(v: np.ndarray, step: AxisTransform, back: bool) -> np.ndarray:
     return out
 
 
-def apply(chunk: np.ndarray, steps: list[AxisTransform], back: bool = False) -> np.ndarray:
-    """A chunk after all steps (or before them)."""
+def apply(chunk: np.ndarray, steps: list[AxisTransform], back: bool = False, lead: int = 0) -> np.ndarray:
+    """A chunk after all steps (or before them); with `lead`, chunks stacked along that many further axes in front."""
     out = chunk.astype(np.int64)
     for step in reversed(steps) if back else steps:
-        moved = np.moveaxis(out, step.dimension, 0)
+        moved = np.moveaxis(out, step.dimension + lead, 0)
         size = step.group or max(1, len(moved))
         moved = np.concatenate([_segment(moved[a : a + size], step, back) for a in range(0, max(1, len(moved)), size)])
-        out = np.moveaxis(moved, 0, step.dimension)
+        out = np.moveaxis(moved, 0, step.dimension + lead)
     return out
 
 
-def transformed(chunks: DataFrame, steps: list[AxisTransform], shape: list[int], back: bool = False, values: str = "values") -> DataFrame:
-    """An array column (C order, of `shape`) of each row transformed; the other columns stay."""
+MOST_ELEMENTS = 1 << 24  # that a kernel works on at once
+
+
+def mapped(chunks: DataFrame, made, size: int, values: str, kind: str = "bigint") -> DataFrame:
+    """An array column of `size` elements in each row after `made`, a function of all rows' elements as one (rows, size)
+    array; null chunks stay null, the other columns as they are. Chunks of another size or with null elements raise."""
 
     def run(batches):
-        for batch in batches:
-            column = batch.column(values)
-            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), *shape)
-            out = np.stack([apply(c, steps, back).ravel() for c in flat]) if len(flat) else flat.reshape(0, int(np.prod(shape)))
-            made = pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1, dtype=np.int32) * int(np.prod(shape))), pa.array(out.ravel()))
-            at = batch.schema.get_field_index(values)
-            yield batch.set_column(at, values, made)
+        for whole in batches:
+            step = max(1, MOST_ELEMENTS // max(1, size))
+            for a in range(0, whole.num_rows, step):
+                batch = whole.slice(a, step)
+                column = batch.column(values)
+                there = column.is_valid().to_numpy(zero_copy_only=False)
+                flat = column.drop_null().flatten()
+                if len(flat) != size * int(there.sum()) or flat.null_count:
+                    raise InvalidArgument(f"a chunk doesn't hold {size} elements")
+                out = made(flat.to_numpy(zero_copy_only=False).reshape(-1, size))
+                at = pa.array(np.r_[0, np.cumsum(there * size)].astype(np.int32), mask=np.r_[~there, False])
+                arrays = pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(out).ravel()))
+                yield batch.set_column(batch.schema.get_field_index(values), values, arrays)
+
+    schema = ", ".join(f"`{f.name}` {f'array<{kind}>' if f.name == values else f.dataType.simpleString()}" for f in chunks.schema.fields)
+    return chunks.mapInArrow(run, schema)
+
+
+def transformed(chunks: DataFrame, steps: list[AxisTransform], shape: list[int], back: bool = False, values: str = "values") -> DataFrame:
+    """An array column (C order, of `shape`) of each row transformed, a batch of rows at a time; null chunks stay null
+    and so do the other columns as they are."""
+    return mapped(chunks, lambda rows: apply(rows.reshape(-1, *shape), steps, back, 1), int(np.prod(shape)), values)
+
+
+def permuted(chunks: DataFrame, at: np.ndarray, values: str = "values") -> DataFrame:
+    """Each chunk's elements in another order: the one at place at[i] comes i-th. Elements keep their type."""
+    kind = chunks.schema[values].dataType.elementType.simpleString()
+    return mapped(chunks, lambda rows: rows[:, at], len(at), values, kind)
+
 
-    kinds = ", ".join(f"`{f.name}` {'array<bigint>' if f.name == values else f.dataType.simpleString()}" for f in chunks.schema.fields)
-    return chunks.mapInArrow(run, kinds)
+def wavelet97(chunks: DataFrame, shape: tuple[int, int], back: bool = False, values: str = "values") -> DataFrame:
+    """One level of the 2-D 9/7 wavelet of each plane (C order), in single precision, or its inverse."""
+    return mapped(chunks, lambda rows: dwt97(rows.reshape(-1, *shape), back, 1), shape[0] * shape[1], values, "float")
 
 
 #: Lifting constants of the 9/7 wavelet (fixed values of ITU-T T.800, table F.4).
@@ -91,11 +118,12 @@ def _fold97(s: np.ndarray, d: np.ndarray, k: np.float32, on_detail: bool) -> Non
         s += k * (np.concatenate([d[:1], d])[: len(s)] + np.concatenate([d, d[-1:]])[: len(s)])
 
 
-def dwt97(plane: np.ndarray, back: bool = False) -> np.ndarray:
-    """One level of the 2-D 9/7 wavelet in single precision, subband order; the scale stays with the quantiser."""
+def dwt97(plane: np.ndarray, back: bool = False, lead: int = 0) -> np.ndarray:
+    """One level of the 2-D 9/7 wavelet in single precision, subband order; the scale stays with the quantiser. Planes
+    may be stacked along `lead` axes in front."""
     out = plane.astype(np.float32)
     for axis in (1, 0) if back else (0, 1):
-        v = np.moveaxis(out, axis, 0)
+        v = np.moveaxis(out, axis + lead, 0)
         if len(v) > 1:
             half = (len(v) + 1) // 2
             s, d = (v[:half].copy(), v[half:].copy()) if back else (v[0::2].copy(), v[1::2].copy())
@@ -107,5 +135,5 @@ def dwt97(plane: np.ndarray, back: bool = False) -> np.ndarray:
                 v[0::2], v[1::2] = s, d
             else:
                 v = np.concatenate([s, d])
-        out = np.moveaxis(v, 0, axis)
+        out = np.moveaxis(v, 0, axis + lead)
     return np.ascontiguousarray(out)

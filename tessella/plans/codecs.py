@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +90,18 @@ def validated(codec: dict) -> dict:
     return {"name": name, "configuration": REGISTRY[name][1](codec.get("configuration", {}))}
 
 
-def reshaped_to(groups: list[list[int]], shape: list[int]) -> list[int]:
-    return [math.prod(shape[d] for d in g) for g in groups]
+def reshaped_to(given: list, shape: list[int]) -> list[int]:
+    """The extents that a reshape asks for: each entry is a number of elements, -1 for what is left (once at most), or
+    a list of the dimensions whose elements it takes together."""
+    out = [math.prod(shape[d] for d in x) if isinstance(x, (list, tuple)) else x for x in given]
+    whole, known = math.prod(shape), math.prod(x for x in out if x != -1)
+    if out.count(-1) > 1 or any(x < 1 and x != -1 for x in out):
+        raise InvalidArgument(f"a reshape to {given} isn't defined")
+    if -1 in out and known and whole % known == 0:
+        out[out.index(-1)] = whole // known
+    if math.prod(out) != whole:
+        raise InvalidArgument(f"{whole} elements don't make {given}")
+    return out
 
 
 def array_stages(chunks: DataFrame, series: list[dict], shape: list[int], values: str = "values", back: bool = False) -> DataFrame:
@@ -105,7 +116,7 @@ def array_stages(chunks: DataFrame, series: list[dict], shape: list[int], values
         shapes.append([now[d] for d in c["order"]] if codec["name"] == "transpose" else reshaped_to(c["shape"], now) if codec["name"] == "reshape" else now)
     for name, c, now in reversed(stages) if back else stages:
         if name == "transpose":
-            chunks = chunks.withColumn(values, _transposed(values, now, c["order"], back))
+            chunks = _transposed(chunks, values, now, c["order"], back)
         elif name == "nd_lift":
             chunks = kernels.transformed(chunks, transforms_of(c), now, back, values)
         elif name == "numcodecs.delta":
@@ -113,16 +124,10 @@ def array_stages(chunks: DataFrame, series: list[dict], shape: list[int], values
     return chunks
 
 
-def _transposed(values: str, shape: list[int], order: list[int], back: bool) -> Column:
+def _transposed(chunks: DataFrame, values: str, shape: list[int], order: list[int], back: bool) -> DataFrame:
     """The elements picked in the other order: a constant permutation of places."""
-    import numpy as np
-
     at = np.arange(math.prod(shape)).reshape(shape).transpose(order).ravel()
-    at = np.argsort(at) if back else at
-    places = F.array(*(F.lit(int(i) + 1) for i in at)) if len(at) <= 4096 else None
-    if places is None:
-        raise Unsupported("chunks of over 4096 elements are transposed as cells (layout.transposed)")
-    return F.transform(places, lambda i: F.element_at(values, i))
+    return kernels.permuted(chunks, np.argsort(at) if back else at, values)
 
 
 def _modular(chunks: DataFrame, dtype: str, n: int, back: bool, values: str) -> DataFrame:
@@ -181,12 +186,25 @@ def budget(values: Interval, steps: list[AxisTransform], shape: list[int], bits:
 
 
 def widened(x: Column, dtype: str, bits: int = 32) -> Column:
-    """Elements as plane samples; those above the plane's range raise."""
-    if "float" in dtype:
+    """Elements as plane samples; values outside the type or the plane of `bits` bits raise."""
+    _, _, low, high, _ = DTYPES[dtype]
+    if low is None:
         raise Unsupported("planes hold whole numbers")
-    top = (1 << (bits - 1)) - 1
-    v = x.cast("long")
-    return F.when(v > top, F.raise_error(F.lit(f"a value exceeds the {bits}-bit plane"))).otherwise(v)
+    low, high = max(low, -(1 << (bits - 1))), min(high, (1 << (bits - 1)) - 1)
+    return F.when((x < low) | (x > high), F.raise_error(F.lit(f"a value doesn't fit {dtype} in a {bits}-bit plane"))).otherwise(x.cast("long"))
+
+
+def plane_bits(dtype: str) -> int:
+    """The plane that holds a type's values: of 32 bits where they fit, else of 64."""
+    return 64 if DTYPES[dtype][3] is None or DTYPES[dtype][3] > (1 << 31) - 1 else 32
+
+
+def encoded_fill(fill: int, dtype: str, steps: list[AxisTransform], shape: list[int], bits: int = 32) -> np.ndarray:
+    """What a chunk of nothing but `fill` holds after the steps: an absent chunk of coefficients reads as this."""
+    low, high = max(DTYPES[dtype][2], -(1 << (bits - 1))), min(DTYPES[dtype][3], (1 << (bits - 1)) - 1)
+    if not low <= fill <= high:
+        raise InvalidArgument(f"fill {fill} doesn't fit {dtype} in a {bits}-bit plane")
+    return kernels.apply(np.full(shape, fill, np.int64), steps)
 
 
 def narrowed(v: Column, dtype: str) -> Column:
@@ -195,11 +213,11 @@ def narrowed(v: Column, dtype: str) -> Column:
     return F.when((v < low) | (v > high), F.raise_error(F.lit(f"a value doesn't fit {dtype}"))).otherwise(v).cast(carrier)
 
 
-def forward_checked(cells: DataFrame, keys: list[str], axes: list[str], steps: list[AxisTransform], shape: list[int], value: str = "x") -> DataFrame:
-    """forward_steps after the budget of the values at hand."""
+def forward_checked(cells: DataFrame, keys: list[str], axes: list[str], steps: list[AxisTransform], shape: list[int], value: str = "x", dtype: str = "int32") -> DataFrame:
+    """forward_steps after the budget of the values at hand, in the plane of their type."""
     row = cells.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
     if row["a"] is not None:
-        budget(Interval(row["a"], row["b"]), steps, shape)
+        budget(Interval(row["a"], row["b"]), steps, shape, plane_bits(dtype))
     return lifting.forward_steps(cells, keys, axes, steps, value)
 
 

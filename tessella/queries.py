@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import samples as S
 from .operators import bench, indexes, kernels, layout, lifting
-from .sources import boxes, containers, images
+from .sources import arrays, boxes, containers, images
 from .streaming import signals
 from .plans import codecs
-from .plans.series import SeriesSpec, codec_series
+from .plans.series import SeriesSpec, codec_series, group_numbers, order_of
 from .types import AxisTransform, InvalidArgument, Unsupported
 
 QUERIES: dict = {}
@@ -190,20 +191,40 @@ def thumbnail_ll(spark, sf_dir):
     return low.select("vec_id", F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col"), F.col("x").alias("coef"))
 
 
-@query(None)
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000) AS BIGINT)), ',') AS flat FROM embeddings")
 def dwt97_roundtrip(spark, sf_dir):
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for v in batch.column("values").to_pylist():
-                plane = np.array(v, np.float32).reshape(8, 8)
-                out.append(float(np.abs(kernels.dwt97(kernels.dwt97(plane), back=True) - plane).max()))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([e < 0.05 for e in out], pa.bool_())], names=["vec_id", "restored"])
-
-    return plane_rows(spark, sf_dir).mapInArrow(run, "vec_id long, restored boolean")
+    """The 9/7 wavelet of 8 x 8 planes and its inverse; rounding to whole samples undoes the single precision."""
+    there = kernels.wavelet97(plane_rows(spark, sf_dir), (8, 8))
+    back = kernels.wavelet97(there, (8, 8), back=True)
+    return back.select("vec_id", F.array_join(F.transform("values", lambda v: F.round(v).cast("long").cast("string")), ",").alias("flat"))
+
+
+def _dwt97_row(x: str) -> str:
+    """One level of eight samples along a list, by the lifting steps, in double precision."""
+    low, high = [f"{x}[{2 * i + 1}]" for i in range(4)], [f"{x}[{2 * i + 2}]" for i in range(4)]
+    names = [f"s{i}" for i in range(4)] + [f"d{i}" for i in range(4)]
+    sql = "SELECT *, " + ", ".join(f"{v} AS {n}0" for n, v in zip(names, low + high))
+    for step, (k, detail) in enumerate(((kernels.ALPHA, True), (kernels.BETA, False), (kernels.GAMMA, True), (kernels.DELTA, False))):
+        own, other = ("d", "s") if detail else ("s", "d")
+        beside = lambda i: (i, min(3, i + 1)) if detail else (max(0, i - 1), i)  # noqa: B023, E731
+        parts = [f"{own}{i}{step} + ({k!r}) * ({other}{beside(i)[0]}{step} + {other}{beside(i)[1]}{step}) AS {own}{i}{step + 1}" for i in range(4)]
+        parts += [f"{other}{i}{step} AS {other}{i}{step + 1}" for i in range(4)]
+        sql = f"SELECT *, {', '.join(parts)} FROM ({sql}{' FROM r' if step == 0 else ''})"
+    return f"SELECT vec_id, k, [{', '.join(f'{n}4' for n in names)}] AS c FROM ({sql})"
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(CAST(e AS DOUBLE) * 1000)) AS e FROM embeddings),
+  cols AS (WITH r AS (SELECT vec_id, k, [e[8 * j + k + 1] FOR j IN range(8)] AS w FROM v, range(8) t(k)) {_dwt97_row('w')}),
+  turned AS (SELECT vec_id, j AS k, list(c[j + 1] ORDER BY k) AS w FROM cols, range(8) t(j) GROUP BY ALL),
+  both_ways AS (WITH r AS (SELECT * FROM turned) {_dwt97_row('w')})
+  SELECT vec_id, CAST(k AS INTEGER) AS "row", CAST(i AS INTEGER) AS col, CASE WHEN abs(c[i + 1] / 4 - round(c[i + 1] / 4)) < 0.49 THEN CAST(CAST(round(c[i + 1] / 4) AS BIGINT) AS VARCHAR) ELSE 'between' END AS coef FROM both_ways, range(8) t(i)""")
+def dwt97(spark, sf_dir):
+    """Coefficients of the 9/7 wavelet of 8 x 8 planes in units of 4, as text; "between" for those between two units,
+    where single and double precision could round apart."""
+    rows = kernels.wavelet97(plane_rows(spark, sf_dir), (8, 8)).select("vec_id", F.posexplode("values").alias("at", "v"))
+    quarter = F.col("v").cast("double") / 4
+    sure = F.abs(quarter - F.round(quarter)) < 0.49
+    return rows.select("vec_id", F.floor(F.col("at") / 8).cast("int").alias("row"), (F.col("at") % 8).cast("int").alias("col"), F.when(sure, F.round(quarter).cast("long").cast("string")).otherwise("between").alias("coef"))
 
 
 @query(f'WITH {CELLS}, e AS (SELECT *, count(*) OVER (PARTITION BY "row", col) AS n FROM cells) SELECT vec_id, "row", col, x FROM e WHERE vec_id % 8 < (least(8, n - vec_id // 8 * 8) + 3) // 4')
@@ -371,6 +392,14 @@ def packet_sequence(spark, sf_dir):
     return packets_of(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "len", F.row_number().over(w.orderBy("res", *tail, "l_linenumber", "len")).alias("rpcl"), F.row_number().over(w.orderBy("l_linenumber", *tail, "res", "len")).alias("cprl"))
 
 
+@query(f"""WITH {PACKETS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, len, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY res, l_linenumber, l_suppkey, l_partkey, len) AS INTEGER) AS lrcp, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY res, l_linenumber, l_suppkey, l_partkey, len) AS INTEGER) AS rlcp, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY res, l_suppkey, l_partkey, l_linenumber, len) AS INTEGER) AS rpcl, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, l_partkey, l_linenumber, res, len) AS INTEGER) AS pcrl, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, res, len) AS INTEGER) AS cprl FROM idx""")
+def packet_sequences(spark, sf_dir):
+    """Every packet's number in each of the five progressions."""
+    columns = {"res": "res", "comp": "l_linenumber", "y": "l_suppkey", "x": "l_partkey"}
+    numbers = [indexes.sequence(["l_orderkey"], p, columns, "len").alias(p.lower()) for p in indexes.PROGRESSIONS]
+    return packets_of(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "len", *numbers)
+
+
 @query("""WITH d AS (SELECT p_partkey, p_size * 40 AS w, p_size * 24 + 7 AS h, 64 + p_partkey % 200 AS most FROM part), l AS (SELECT *, r, (w + (1 << (5 - r)) - 1) // (1 << (5 - r)) AS lw, (h + (1 << (5 - r)) - 1) // (1 << (5 - r)) AS lh FROM d, range(6) t(r))
   SELECT p_partkey, CAST(coalesce(max(r) FILTER (WHERE greatest(lw, lh) <= most), 0) AS INTEGER) AS res FROM l GROUP BY p_partkey""")
 def resolution_for(spark, sf_dir):
@@ -383,12 +412,25 @@ def resolution_for(spark, sf_dir):
   UNION ALL SELECT p_partkey, r, 'HH', lw - pw, lh - ph, CAST(ceil((lw - pw) / 64.0) * ceil((lh - ph) / 64.0) AS BIGINT) FROM e""")
 def band_blocks(spark, sf_dir):
     d = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("long") * 40).alias("w"), (F.col("p_size").cast("long") * 24 + 7).alias("h"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("r"))
-    at = lambda c, k: indexes.level_extent(F.col(c), F.lit(k) - F.col("r"))
-    e = d.select("p_partkey", "r", at("w", 6).alias("pw"), at("w", 5).alias("lw"), at("h", 6).alias("ph"), at("h", 5).alias("lh"))
-    band = lambda n, w, h: F.struct(F.lit(n).alias("band"), w.alias("bw"), h.alias("bh"))
-    lw, lh = F.col("lw") - F.col("pw"), F.col("lh") - F.col("ph")
-    rows = e.select("p_partkey", "r", F.explode(F.array(band("HL", lw, F.col("ph")), band("LH", F.col("pw"), lh), band("HH", lw, lh))).alias("b")).select("p_partkey", "r", "b.*")
-    return rows.withColumn("blocks", (F.ceil(F.col("bw") / 64) * F.ceil(F.col("bh") / 64)).cast("long"))
+    rows = d.select("p_partkey", "r", F.explode(indexes.bands(F.col("w"), F.col("h"), 5, F.col("r"))).alias("b")).select("p_partkey", "r", "b.band", "b.bw", "b.bh")
+    across, down = indexes.code_blocks(F.col("bw"), F.col("bh"), 64)
+    return rows.withColumn("blocks", across * down)
+
+
+@query("""WITH d AS (SELECT p_partkey, CAST(p_size * 8 AS BIGINT) AS w, CAST(p_size * 5 + 7 AS BIGINT) AS h, CAST(r AS INTEGER) AS r FROM part, range(0, 4) t(r)),
+  e AS (SELECT *, (w + (1 << (4 - r)) - 1) // (1 << (4 - r)) AS pw, (w + (1 << (3 - r)) - 1) // (1 << (3 - r)) AS lw, (h + (1 << (4 - r)) - 1) // (1 << (4 - r)) AS ph, (h + (1 << (3 - r)) - 1) // (1 << (3 - r)) AS lh FROM d),
+  b AS (SELECT p_partkey, r, 'LL' AS band, 0 AS bx, 0 AS b_y, lw AS bw, lh AS bh FROM e WHERE r = 0 UNION ALL SELECT p_partkey, r, 'HL', pw, 0, lw - pw, ph FROM e WHERE r > 0
+    UNION ALL SELECT p_partkey, r, 'LH', 0, ph, pw, lh - ph FROM e WHERE r > 0 UNION ALL SELECT p_partkey, r, 'HH', pw, ph, lw - pw, lh - ph FROM e WHERE r > 0)
+  SELECT p_partkey, r, band, CAST(i AS BIGINT) AS cx, CAST(j AS BIGINT) AS cy, CAST(bx + i * 64 AS BIGINT) AS x0, CAST(b_y + j * 64 AS BIGINT) AS y0, CAST(least(64, bw - i * 64) AS BIGINT) AS cw, CAST(least(64, bh - j * 64) AS BIGINT) AS ch
+  FROM b, range(7) a(i), range(7) c(j) WHERE i * 64 < bw AND j * 64 < bh""")
+def code_block_rects(spark, sf_dir):
+    """Each code-block's rectangle, clipped to its band, for four resolutions."""
+    d = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size").cast("long") * 8).alias("w"), (F.col("p_size").cast("long") * 5 + 7).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r"))
+    rows = d.select("p_partkey", "r", F.explode(indexes.bands(F.col("w"), F.col("h"), 3, F.col("r"))).alias("b")).select("p_partkey", "r", "b.*").where("bw > 0 and bh > 0")
+    for name, n in zip(("cx", "cy"), indexes.code_blocks(F.col("bw"), F.col("bh"), 64)):
+        rows = rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    left = lambda n, c: F.least(F.lit(64).cast("long"), F.col(n) - F.col(c) * 64)
+    return rows.select("p_partkey", "r", "band", "cx", "cy", (F.col("bx") + F.col("cx") * 64).alias("x0"), (F.col("by") + F.col("cy") * 64).alias("y0"), left("bw", "cx").alias("cw"), left("bh", "cy").alias("ch"))
 
 
 PLANES = """
@@ -428,17 +470,13 @@ def contained(spark, sf_dir: str, orders: DataFrame) -> DataFrame:
     return asked.join(planes_of(spark, sf_dir), "chunk").where((F.col("a") >= F.col("offset")) & (F.col("b") <= F.col("offset") + F.col("len"))).select("chunk", "a", "b", "plane").distinct()
 
 
-@query(f"""WITH {PLANES}, f AS (SELECT o_custkey AS chunk, 200 + o_orderkey % 900 AS a, 260 + o_orderkey % 900 AS b FROM orders WHERE o_orderkey % 5 = 0)
+@query(f"""WITH {PLANES}, f AS (SELECT o_custkey AS chunk, 200 + o_orderkey % 900 AS a, 260 + o_orderkey % 900 AS b FROM orders)
   SELECT DISTINCT f.chunk, a, b, plane FROM f JOIN pidx p ON f.chunk = p.chunk AND a >= "offset" AND b <= "offset" + len""")
 def plan_containment(spark, sf_dir):
-    """Requests of every fifth order, as its SQL has them; plan_containment_all asks for all."""
-    return contained(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"))
+    return contained(spark, sf_dir, table(spark, sf_dir, "orders"))
 
 
-@query(f"""WITH {PLANES}, f AS (SELECT o_custkey AS chunk, 200 + o_orderkey % 900 AS a, 260 + o_orderkey % 900 AS b FROM orders)
-  SELECT DISTINCT f.chunk, a, b, plane FROM f JOIN pidx p ON f.chunk = p.chunk AND a >= "offset" AND b <= "offset" + len""")
-def plan_containment_all(spark, sf_dir):
-    return contained(spark, sf_dir, table(spark, sf_dir, "orders"))
+ORACLE_SQL["plan_containment_all"], QUERIES["plan_containment_all"] = ORACLE_SQL["plan_containment"], plan_containment
 
 
 @query(f"""WITH {PLANES}, t AS (SELECT o_custkey AS chunk, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS BIGINT) AS plane, CAST(floor(o_totalprice / 100) AS BIGINT) + CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS told FROM orders)
@@ -510,6 +548,71 @@ def region_packets(spark, sf_dir):
     return there.where(hit).groupBy("p_partkey", "res").agg(F.count(F.lit(1)).alias("hits"))
 
 
+REGION = """g AS (SELECT p_partkey AS chunk, CAST(p_size * 40 AS BIGINT) AS w, CAST(p_size * 24 + 7 AS BIGINT) AS h, CAST(res AS INTEGER) AS res, CAST(px AS INTEGER) AS px, CAST(py AS INTEGER) AS py, CAST(1 << (2 - res) AS BIGINT) AS scale,
+    CAST(20 + (p_partkey + 7 * px + 3 * py + res) % 50 AS BIGINT) AS len FROM part, range(3) r(res), range(4) a(px), range(4) b(py)),
+  e AS (SELECT *, (w + scale - 1) // scale AS rw, (h + scale - 1) // scale AS rh FROM g), k AS (SELECT * FROM e WHERE px * 128 < rw AND py * 128 < rh),
+  o AS (SELECT *, CAST(100 + coalesce(sum(len) OVER (PARTITION BY chunk ORDER BY res, py, px ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM k),
+  hit AS (SELECT * FROM o WHERE px * 128 <= least(499 // scale, rw - 1) AND (px + 1) * 128 > least(200 // scale, rw) AND py * 128 <= least(389 // scale, rh - 1) AND (py + 1) * 128 > least(90 // scale, rh))"""
+
+
+@query(f"""WITH {REGION}, r AS (SELECT DISTINCT chunk, 0::BIGINT AS s, 99::BIGINT AS e FROM o UNION ALL SELECT chunk, "offset", "offset" + len - 1 FROM hit), {MERGED}""")
+def plan_region(spark, sf_dir):
+    """Byte ranges of the header and of the precincts that a rectangle of 300 x 300 at (200, 90) needs, RPCL order."""
+    grid = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk"), (F.col("p_size").cast("long") * 40).alias("w"), (F.col("p_size").cast("long") * 24 + 7).alias("h"))
+    for name, n in (("res", 3), ("px", 4), ("py", 4)):
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    extent = lambda c: indexes.level_extent(F.col(c), F.lit(2) - F.col("res"))
+    there = grid.where((F.col("px") * 128 < extent("w")) & (F.col("py") * 128 < extent("h")))
+    sized = there.withColumn("len", (20 + (F.col("chunk") + 7 * F.col("px") + 3 * F.col("py") + F.col("res")) % 50).cast("long"))
+    hit = indexes.precinct_hit(F.col("px"), F.col("py"), F.col("res"), 2, F.col("w"), F.col("h"), (200, 90, 300, 300), 128)
+    return indexes.region_plan(indexes.packet_index(sized, ["chunk"], ["res", "py", "px"], "len", F.lit(100)), ["chunk"], hit, 100)
+
+
+@query("""WITH b AS (SELECT p_partkey, CAST(p_size % 7 + 1 AS BIGINT) AS gz, CAST(p_size % 5 + 1 AS BIGINT) AS gy, CAST(p_size % 3 + 1 AS BIGINT) AS gx FROM part)
+  SELECT p_partkey, CAST(y AS INTEGER) AS "row", 192 + gz * gy * gx * 512 AS stream_bits, CAST((192 + y * gx * 512) // 8 AS BIGINT) AS "first", CAST((192 + (y + 1) * gx * 512 - 1) // 8 AS BIGINT) AS "last" FROM b, range(5) t(y) WHERE y < gy""")
+def brick_rows(spark, sf_dir):
+    """A fixed-rate stream's length, and one byte range for each row of bricks in the first layer of each part's grid."""
+    grid = table(spark, sf_dir, "part").select("p_partkey", *((F.col("p_size") % n + 1).cast("long").alias(c) for c, n in (("gz", 7), ("gy", 5), ("gx", 3))))
+    rows = grid.withColumn("row", F.explode(F.sequence(F.lit(0), (F.col("gy") - 1).cast("int"))))
+    g = [F.col("gz"), F.col("gy"), F.col("gx")]
+    ends = [indexes.brick_range([F.lit(0), F.col("row"), x], g, 8, 3, 192) for x in (F.lit(0), F.col("gx") - 1)]
+    return rows.select("p_partkey", "row", indexes.stream_bits(g, 8, 3, 192).alias("stream_bits"), ends[0][0].alias("first"), ends[1][1].alias("last"))
+
+
+STORE = """cells AS (SELECT vec_id AS z, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 1000) AS BIGINT) AS v FROM embeddings, range(64) t(i))"""
+
+
+STORED = ["z", "row", "col"]
+
+
+def named_cells(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("z").cast("long").alias("z"), F.col("row").cast("int").alias("y"), F.col("col").cast("int").alias("x"), F.col("x").alias("v"))
+
+
+def store_of(spark, sf_dir: str, fill: int, keep) -> str:
+    """Planes as a chunked array in the shared folder: cells for which `keep` holds, in chunks of 16 x 4 x 4."""
+    path = f"{arrays.folder(spark)}/store-{uuid.uuid4().hex}"
+    planes = plane_rows(spark, sf_dir).select(F.col("vec_id").alias("z"), F.posexplode("values").alias("at", "v"))
+    cells = planes.select("z", F.floor(F.col("at") / 8).cast("int").alias("row"), (F.col("at") % 8).cast("int").alias("col"), "v")
+    arrays.write(cells.where(keep), path, STORED, [16, 4, 4], "v", fill)
+    return path
+
+
+@query(f"WITH {STORE} SELECT z, y, x, v FROM cells WHERE z BETWEEN 10 AND 41 AND y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 3")
+def store_subset(spark, sf_dir):
+    """A box of a stored array: whole chunks are pruned at the scan, cells after it."""
+    path = store_of(spark, sf_dir, 0, F.lit(True))
+    return named_cells(arrays.read(spark, path, STORED, [16, 4, 4], [10, 2, 1], [32, 4, 3]))
+
+
+@query(f"""WITH {STORE}, g AS (SELECT CAST(z AS BIGINT) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM range(10, 90) a(z), range(2, 8) b(y), range(1, 7) c(x))
+  SELECT g.z, g.y, g.x, coalesce(s.v, 7) AS v FROM g LEFT JOIN (SELECT * FROM cells WHERE z // 16 % 2 = 0 AND y < 4) s USING (z, y, x)""")
+def store_box(spark, sf_dir):
+    """A box of an array half of whose chunks were never written: these read as the fill value, 7."""
+    path = store_of(spark, sf_dir, 7, (F.floor(F.col("z") / 16) % 2 == 0) & (F.col("row") < 4))
+    return named_cells(arrays.read_box(spark, path, STORED, [16, 4, 4], [10, 2, 1], [80, 6, 6], 7))
+
+
 @query(f"""WITH {PLANES}, r AS (SELECT DISTINCT chunk, 85::BIGINT AS s, 200::BIGINT AS e FROM pidx WHERE plane = 2 UNION ALL SELECT chunk, "offset" + 85, "offset" + len + 84 FROM pidx WHERE plane = 2),
   f AS (WITH {MERGED}) SELECT chunk, string_agg(start || '-' || "end", ',' ORDER BY start) AS ranges FROM f GROUP BY chunk""")
 def plan_rendered(spark, sf_dir):
@@ -551,8 +654,8 @@ def bench_halves(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 DIFF = f"""WITH {SAMPLES}, c AS (SELECT config, name, {RECORD} FROM s WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT config, name, {RECORD} FROM s WHERE event_id % 2 = 1 GROUP BY ALL),
   d AS (SELECT c.config, c.name, c.median_ns, b.median_ns AS baseline_median_ns,
-    coalesce(100 * (c.median_ns - b.median_ns) >= 10 * b.median_ns AND c.median_ns - b.median_ns > b.sigma_ns, false) AS time_regressed,
-    coalesce(c.bytes_out / c.bytes_in >= b.bytes_out / b.bytes_in * (1 + 2 / 100), false) AS ratio_regressed FROM c LEFT JOIN b USING (config, name))"""
+    coalesce(b.median_ns > 0 AND 100 * (c.median_ns - b.median_ns) >= 10 * b.median_ns AND c.median_ns - b.median_ns > b.sigma_ns, false) AS time_regressed,
+    coalesce(b.bytes_out / b.bytes_in > 0 AND c.bytes_out / c.bytes_in >= b.bytes_out / b.bytes_in * (1 + 2 / 100), false) AS ratio_regressed FROM c LEFT JOIN b USING (config, name))"""
 
 
 @query(DIFF + " SELECT * FROM d")
@@ -584,6 +687,25 @@ def decorrelation_set(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(dims, lambda d: d.cast("string")), ",").alias("dims"))
 
 
+@query("""WITH d AS (SELECT p_partkey, [p_size % 3 + 1, p_size % 2 + 1, p_partkey % 4 + 1, 64, 64] AS shape, list_filter([0, 1, 2], lambda d: (p_partkey // (1 << d)) % 2 = 1) AS chosen, p_size % 2 = 0 AS delta FROM part),
+  k AS (SELECT *, CASE WHEN delta AND list_contains(chosen, 2) THEN 2 WHEN delta AND list_contains(chosen, 0) THEN 0 ELSE -1 END AS last FROM d),
+  t AS (SELECT p_partkey, shape, CAST(i AS INTEGER) AS d, CASE WHEN i = last THEN 6 WHEN i >= 2 THEN i + 1 WHEN NOT list_contains(chosen, i) THEN 0 WHEN i = 0 AND shape[1] > 1 THEN 2 ELSE 1 END AS tier FROM k, range(5) r(i)),
+  o AS (SELECT p_partkey, d, shape[d + 1] AS n, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, d) - 1 AS place FROM t),
+  g AS (SELECT *, coalesce(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey) AS longer FROM o)
+  SELECT p_partkey, string_agg(d, ',' ORDER BY place) AS "order", string_agg(CAST(least(before, greatest(0, longer - 1)) AS INTEGER), ',' ORDER BY place) AS groups FROM g GROUP BY p_partkey""")
+def plan_orders(spark, sf_dir):
+    """Transpose order and reshape groups of a planned series for each part's chunk (axes t, c, z, y, x), as DataFrames."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    shape = F.array(*(x.cast("int") for x in (size % 3 + 1, size % 2 + 1, key % 4 + 1, F.lit(64), F.lit(64))))
+    chosen = F.filter(F.array(*(F.lit(d) for d in range(3))), lambda d: F.floor(key / F.pow(F.lit(2), d)).cast("long") % 2 == 1)
+    d = table(spark, sf_dir, "part").select("p_partkey", shape.alias("shape"), chosen.alias("chosen"), (size % 2 == 0).alias("delta"))
+    order = order_of(["t", "c", "z", "y", "x"], F.col("shape"), F.col("chosen"), F.col("delta"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    placed = d.withColumn("at", order)
+    groups = group_numbers(F.transform("at", lambda i: F.element_at("shape", i + 1)))
+    return placed.select("p_partkey", text(F.col("at")).alias("order"), text(groups).alias("groups"))
+
+
 SERIES_CASES = [
     {"axes": a, "chunk_shape": c, "dtype": t, "family": f, **o}
     for a, c in ((["t", "c", "z", "y", "x"], [8, 1, 32, 256, 256]), (["t", "c", "z", "y", "x"], [1, 1, 1, 512, 512]), (["c", "z", "y", "x"], [3, 16, 256, 256]), (["x", "y", "z"], [256, 256, 32]), (["y", "x"], [512, 512]))

@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout
-from ..types import InvalidArgument
+from ..types import InvalidArgument, SourceError
 
 
-def write(cells: DataFrame, path: str, axes: list[str], chunk_shape: list[int], value: str = "x", fill=0) -> None:
-    """Cells with a coordinate column for each axis, as chunks; chunks of nothing but fill are left out. Rows are
+def folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the session's spark.checkpoint.dir, or one of our own in local mode."""
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise SourceError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def write(cells: DataFrame, path: str, axes: list[str], chunk_shape: list[int], value: str = "x", fill=0, mode: str = "errorifexists") -> None:
+    """Cells with a coordinate column for each axis, as chunks; chunks of nothing but fill are left out (a null is no fill). Rows are
     range-partitioned and sorted by chunk, so that a box touches few row groups."""
     if len(axes) != len(chunk_shape) or min(chunk_shape, default=0) < 1:
         raise InvalidArgument("a chunk extent of 1 or more is needed for each axis")
     ids = [f"c{i}" for i in range(len(axes))]
     placed = cells.select(*(F.floor(F.col(a) / n).cast("int").alias(c) for a, n, c in zip(axes, chunk_shape, ids)), *(F.pmod(F.col(a), F.lit(n)).cast("int").alias(a) for a, n in zip(axes, chunk_shape)), F.col(value).alias("x"))
     at = layout.linear([F.col(a) for a in axes], chunk_shape)
-    chunks = placed.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("at"), "x"))).alias("cells")).where(F.exists("cells", lambda c: c["x"] != fill))
-    chunks.repartitionByRange(*ids).sortWithinPartitions(*ids).write.parquet(path)
+    chunks = placed.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct(at.cast("int").alias("at"), "x"))).alias("cells")).where(F.exists("cells", lambda c: ~c["x"].eqNullSafe(F.lit(fill))))
+    chunks.repartitionByRange(*ids).sortWithinPartitions(*ids).write.mode(mode).parquet(path)
 
 
 def read(spark: SparkSession, path: str, axes: list[str], chunk_shape: list[int], low: list[int] | None = None, size: list[int] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessella import queries
 from tessella.operators import bench, indexes, layout, lifting
 from tessella.plans.series import SeriesSpec, codec_series
+from tessella.sources import arrays
 from tessella.types import InvalidArgument, Unsupported
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,54 @@ def test_records(spark):
     assert one([1, 9])["median_ns"] == 5 and one([3, 1, 2])["median_ns"] == 2 and one([8, 12])["sigma_ns"] == 2.0
 
 
+def test_baselines_of_zero_and_repeated_keys(spark):
+    fields = "name string, median_ns long, sigma_ns double, bytes_out long, bytes_in long"
+    base = spark.createDataFrame([("a", 0, 0.0, 0, 10), ("b", 100, 1.0, 5, 10), ("b", 900, 1.0, 9, 10), ("c", 100, 50.0, 5, 0)], fields)
+    now = spark.createDataFrame([("a", 50, 0.0, 5, 10), ("b", 120, 0.0, 6, 10), ("c", 120, 0.0, 6, 10), ("d", 1, 0.0, 1, 1)], fields)
+    got = {r["name"]: (r["baseline_median_ns"], r["time_regressed"], r["ratio_regressed"]) for r in bench.diff(now, base, ["name"]).collect()}
+    assert got == {"a": (0, False, False), "b": (100, True, True), "c": (100, False, False), "d": (None, False, False)}
+    placed = base.withColumn("position", F.when(F.col("median_ns") == 900, 0).otherwise(1))
+    assert {r["name"]: r["baseline_median_ns"] for r in bench.diff(now, placed, ["name"]).collect()}["b"] == 900
+
+
+def test_stored_nulls_and_pruned_scans(spark, tmp_path):
+    cells = spark.createDataFrame([(i, None if i < 4 else 0 if i < 8 else i) for i in range(16)], "i int, x int")
+    arrays.write(cells, str(tmp_path / "a"), ["i"], [4])
+    assert sorted(r["c0"] for r in spark.read.parquet(str(tmp_path / "a")).select("c0").collect()) == [0, 2, 3]
+    arrays.write(cells, str(tmp_path / "a"), ["i"], [4], mode="overwrite")
+    box = arrays.read(spark, str(tmp_path / "a"), ["i"], [4], [9], [2])
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    scan = box._jdf.queryExecution().executedPlan().collectLeaves().head().metadata().apply("PushedFilters")
+    assert all(f in scan for f in ("IsNotNull(c0)", "GreaterThanOrEqual(c0,2)", "LessThanOrEqual(c0,2)")), plan
+    assert sorted((r["i"], r["x"]) for r in box.collect()) == [(9, 9), (10, 10)]
+
+
+def test_filters_stay_above_windows(spark):
+    """A box of coefficients cuts cells after the transform: the filter may not pass the window that makes them."""
+    cells = spark.createDataFrame([(0, i, i * i) for i in range(16)], "k int, pos long, x long")
+    signal = lifting.signal(cells, ["k"], ["pos"], F.col("x"))
+    whole = {r["pos"]: r["x"] for r in lifting.forward(signal, ["k"], "lift53").collect()}
+    box = lifting.forward(signal, ["k"], "lift53").where("pos between 3 and 5")
+    assert {r["pos"]: r["x"] for r in box.collect()} == {p: x for p, x in whole.items() if 3 <= p <= 5}
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Filter") < plan.index("Window")
+
+
+def test_planned_rows_are_the_planner(spark):
+    from tessella.plans import series as planner
+
+    rows = [(tuple(shape), chosen, delta) for shape in ([1, 1, 1, 1, 1], [8, 1, 32, 256, 256], [1, 3, 1, 64, 64], [2, 1, 1, 1, 1], [1, 1, 4, 1, 1]) for chosen in ([], [0], [2], [0, 2], [0, 1, 2]) for delta in (False, True)]
+    df = spark.createDataFrame([(i, list(s), c, d) for i, (s, c, d) in enumerate(rows)], "i int, shape array<int>, chosen array<int>, delta boolean")
+    axes = ["t", "c", "z", "y", "x"]
+    got = df.select("i", planner.order_of(axes, F.col("shape"), F.col("chosen"), F.col("delta")).alias("order"), planner.group_numbers(F.col("shape")).alias("groups")).collect()
+    for r in got:
+        shape, chosen, delta = rows[r["i"]]
+        spec = SeriesSpec(tuple(axes), shape, "uint16", "nd-delta" if delta else "nd-lift-ht")
+        assert r["order"] == planner._order(spec, chosen)
+        groups = planner._groups(list(shape))
+        assert [next(g for g, ds in enumerate(groups) if d in ds) for d in range(5)] == r["groups"]
+
+
 def series(**given):
     return codec_series(SeriesSpec.from_dict(given))
 
