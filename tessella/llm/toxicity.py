@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import dealt, slices, table, written
 
-EXAMPLES = 3_000  # labelled documents learned from, of each class; the only bound on what is learned
+EXAMPLES = 2_000  # labelled documents learned from, of each class; the only bound on what is learned
 NEAREST = 50
 EVIDENCE = 3
 ASIDE = 5  # one in so many examples is held against an index of the others, to calibrate the votes
