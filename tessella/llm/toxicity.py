@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +19,7 @@ ASIDE = 5  # one in so many examples is held against an index of the others, to
 BLOCK = 64  # examples in an index block
 COMMON = 512  # words held as dense columns of a block
 FIRST = 4  # blocks that a text meets before its bounds are proved
-TOGETHER, POSTINGS = 128, 2_000_000  # texts, and postings, that are added up at once
+TOGETHER, POSTINGS = 128, 500_000  # texts, and postings, that are added up at once
 PRIOR, SAME = 2.0, 0.001
 STEADY = 4.0  # pseudo-examples that hold the calibration to the votes as they are
 SLICE_BYTES = 4 << 20
@@ -231,8 +233,8 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
     All are indexed over all their words; one in ASIDE, held against an index of the others, calibrates the votes. A
     word's weight is (1 + log count) * IDF * (1 + deviations): IDF is counted over all of docs, deviations (marking) are
     how surely the word tells the classes of the indexed examples apart, 0 for one that doesn't. Votes and base rate are weighed by the inverse of
-    each class's sampling rate, so that they follow the ratio of all labels whatever the bound. What the driver holds
-    are the words of 2 * examples texts at most.
+    each class's sampling rate, so that they follow the ratio of all labels whatever the bound. One task fits the
+    sample; the driver holds the words and vectors of 2 * examples texts at most.
     """
     spark = docs.sparkSession
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training(F.col("doc_id")))
@@ -243,20 +245,33 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
     # a drawn doc_id may repeat in docs, with one text or several: equal texts count once, and the bound holds for all
     once = texts.groupBy(F.xxhash64("text").alias("_h")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = once.orderBy("_h").limit(2 * examples).select("doc_id", "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(ASIDE)) == 0).alias("aside"))
-    found = sample.mapInArrow(listed, "doc_id long, toxic int, aside boolean, words array<string>, counts array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
-
-    toxic, aside = (found.column(c).to_numpy().astype(bool) for c in ("toxic", "aside"))
-    coded = pc.list_flatten(found.column("words")).combine_chunks().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    ids, counts = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(found.column("counts")).to_numpy()
-    begin = np.r_[0, np.cumsum(pc.list_value_length(found.column("words")).to_numpy())].astype(np.int64)
+    rows = written(sample.mapInArrow(listed, "doc_id long, toxic int, aside boolean, words array<string>, counts array<int>"))
 
+    names = rows.select(F.explode("words").alias("word")).distinct().orderBy("word").toArrow().column("word").to_pylist()
     place = spark.sparkContext.broadcast("\n".join(names))
     held = dealt(docs.select("text")).mapInArrow(lambda batches: word_documents(batches, place), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(len(names))
     df[held.column("id").to_numpy()] = held.column("n").to_numpy()
+    counts = spark.sparkContext.broadcast(df)
     n = docs.count()
     shares = weighed({r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}, {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()})
+    # one task fits the bounded sample, so that the driver holds no more than the vectors
+    made = rows.repartition(1).mapInArrow(lambda batches: fitted(batches, place, counts, n, shares), "model binary").first()
+    return pickle.loads(made["model"]) if made else Model(Index([], np.zeros(0), 1.0, *[np.zeros(0, np.int64)] * 2, np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2), shares, 0.25)
+
+
+def fitted(batches, place, documents, n: int, shares: tuple[float, float]):
+    """The model of the examples in a task's rows (words and counts), as bytes. documents: how many of all n documents
+    hold each word."""
+    batches = list(batches)
+    if not batches:
+        return
+    names, df = place.value.split("\n") if place.value else [], documents.value
+    found = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    toxic, aside = (found.column(c).to_numpy().astype(bool) for c in ("toxic", "aside"))
+    ids = pc.index_in(pc.list_flatten(found.column("words")), pa.array(names, pa.string())).to_numpy().astype(np.int64)
+    counts = pc.list_flatten(found.column("counts")).to_numpy()
+    begin = np.r_[0, np.cumsum(pc.list_value_length(found.column("words")).to_numpy())].astype(np.int64)
 
     def model(some: np.ndarray) -> Model:
         """Of the examples numbered in some."""
@@ -270,15 +285,17 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
         index = Index(names, weight, float(np.log((1 + n) / 1.5)), found.column("doc_id").to_numpy()[some], y, np.r_[0, np.cumsum(size)], ids[at], counts[at])
         return Model(index, shares, (n1 * shares[1] + 0.5) / (n1 * shares[1] + n0 * shares[0] + 2.0))
 
-    whole, left = model(np.arange(len(toxic))), np.flatnonzero(aside)
+    left, fit = np.flatnonzero(aside), (1.0, 0.0)
     if 0 < len(left) < len(toxic):
         trial = model(np.flatnonzero(~aside))
         rows, times = (pc.list_flatten(found.column(c).take(pa.array(left))).to_pylist() for c in ("words", "counts"))
         cuts = np.r_[0, np.cumsum(np.diff(begin)[left])]
         texts = [" ".join(x for x, c in zip(rows[a:b], times[a:b]) for _ in range(c)) for a, b in zip(cuts[:-1], cuts[1:])]
         votes = np.array([trial.vote(*x) for x in trial.index.nearest(pa.array(texts, pa.string()), NEAREST)])
-        whole.fit = calibrated(votes, toxic[left].astype(float), np.array(shares)[toxic[left].astype(int)])
-    return whole
+        fit = calibrated(votes, toxic[left].astype(float), np.array(shares)[toxic[left].astype(int)])
+    whole = model(np.arange(len(toxic)))
+    whole.fit = fit
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(whole)], pa.binary())], names=["model"])
 
 
 def judged(batches, model):
