@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, running, slices, table, written
+from .common import dealt, fresh_path, released, running, slices, table, written
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -180,13 +180,13 @@ def spans(ends: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, in
     return out
 
 
-def matched(todo: DataFrame, gaps: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame, int]:
+def matched(todo: DataFrame, gaps: DataFrame, low: int, high: int, spent: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame, int]:
     """One superstep: documents (item, length from low to high) take the smallest gaps (seq, gap) that hold them.
 
     A gap offers as many slots of `high` as it holds, and what is over as a slot of its own. Slots and documents are
     range-sorted together and swept (swept). Documents that found no slot in their range take those of earlier ranges
     by rank (spans: a row or two for each range). Returns what was taken (item, length, seq, slot, gap), the documents
-    left, and their number."""
+    left, and their number; the written table that both are read from is added to `spent`."""
     spark = todo.sparkSession
     each = F.floor(F.col("gap") / high)
     slots = gaps.where(F.col("gap") >= low).select("seq", "gap", F.explode(F.sequence(F.lit(0).cast("long"), each)).alias("slot"))
@@ -195,6 +195,8 @@ def matched(todo: DataFrame, gaps: DataFrame, low: int, high: int) -> tuple[Data
     rows = todo.select("item", F.col("length").alias("size"), *(empty.alias(c) for c in ("seq", "slot", "gap"))).unionByName(slots.withColumn("item", empty))
     keys = [F.col("size").desc(), F.col("item").asc_nulls_first(), F.col("gap"), F.col("seq"), F.col("slot")]
     met = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(swept, SWEPT))
+    if spent is not None:
+        spent.append(met)
     alone = met.where("part is not null")
     ends = alone.groupBy("part").agg(F.count("item").alias("docs"), F.count("seq").alias("slots")).collect()  # a row for each range
     links = spans([(r["part"], r["docs"], r["slots"]) for r in ends])
@@ -252,39 +254,48 @@ def best_fit(items: DataFrame, counts: dict[int, int], capacity: int) -> DataFra
 
     Lengths go by falling classes, each half as long as the one before. Within a class, supersteps (matched) run until
     all its documents are placed or hardly a gap holds one; every superstep updates the gaps for the next. Documents left
-    open new sequences (opened), whose gaps serve the classes that follow. Every state is a table: the driver holds
-    counts of lengths (at most `capacity`) and a row or two for each range.
+    open new sequences (opened), whose gaps serve the classes that follow. Every state is a table, and so are the
+    places that a superstep gives, so that no plan grows with their number: the driver holds counts of lengths (at most
+    `capacity`) and a row or two for each range.
     """
-    spark = items.sparkSession
+    spark, empty = items.sparkSession, "item long, sequence_id long, offset long, length long"
+    base, used, steps, most, high = fresh_path(spark), 0, 0, 0, capacity
+    written(spark.createDataFrame([], empty), f"{base}/step=0")
     gaps = written(spark.createDataFrame([], "seq long, gap long"))
-    placed, used, most, high = spark.createDataFrame([], "item long, sequence_id long, offset long"), 0, 0, capacity
 
-    def settle(rows: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """Places of rows (item, length, seq, slot, gap), the gaps that they leave, and the largest of these."""
+    def settle(rows: DataFrame, gaps: DataFrame) -> tuple[DataFrame, int]:
+        """Writes the places of rows (item, length, seq, slot, gap); returns the gaps that they leave, and the largest of these."""
+        nonlocal steps
+        steps += 1
         before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))  # capacity rows at most
-        step = rows.select("item", F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.coalesce(before, F.lit(0))).alias("offset"))
-        rest = gaps.unionByName(rows.select("seq", F.negative("length").alias("gap"))).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
+        places = rows.select("item", F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap") + F.coalesce(before, F.lit(0))).cast("long").alias("offset"), "length")
+        step = written(places, f"{base}/step={steps}")
+        rest = gaps.unionByName(step.select(F.col("sequence_id").alias("seq"), F.negative("length").alias("gap"))).groupBy("seq").agg(F.sum("gap").alias("gap")).where("gap > 0")
         seen = Observation()
-        return step, written(rest.observe(seen, F.max("gap").alias("most"))), seen.get["most"] or 0
+        return written(rest.observe(seen, F.max("gap").alias("most"))), seen.get["most"] or 0
 
     while high:
         low = high // 2 + 1 if high > SMALL else 1
         own = [x for x in counts if low <= x <= high]
-        left = sum(counts[x] for x in own)
+        left, spent = sum(counts[x] for x in own), []
         todo = items.where(F.col("length").between(low, high))
         high = low - 1
         while left and most >= min(own):
-            taken, rest, n = matched(todo, gaps, min(own), max(own))
-            step, gaps, most = settle(taken, gaps)
-            placed, todo, slow, left = placed.unionByName(step), rest, n > 0.9 * left, n
+            taken, todo, n = matched(todo, gaps, min(own), max(own), spent)
+            spent.append(gaps)
+            gaps, most = settle(taken, gaps)
+            slow, left = n > 0.9 * left, n
             if slow:
                 break
         if left:
             rows, end = opened(todo, capacity, used)
             fresh = spark.range(used, end).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
-            step, gaps, most = settle(rows.withColumn("gap", F.lit(capacity)), gaps.unionByName(fresh))
-            placed, used = placed.unionByName(step), end
-    return placed
+            spent.append(gaps)
+            gaps, most = settle(rows.withColumn("gap", F.lit(capacity)), gaps.unionByName(fresh))
+            used = end
+        released(*spent)
+    released(gaps)
+    return spark.read.schema(empty).parquet(base).select("item", "sequence_id", "offset")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -301,6 +312,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     cut = written(pieces(docs, path, capacity, end_id))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     ranked = written(running(cut, ["length", "doc_id", "piece", "ids_crc32"], {"item": None}))
+    released(cut)
     placed = best_fit(ranked.select("item", "length"), counts, capacity)
     return ranked.join(placed, "item").select(*cut.columns, "sequence_id", "offset")
 
