@@ -91,7 +91,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     key = lambda h, i: F.struct(h.alias("row_hash"), F.coalesce(i.cast("long"), F.lit(0)).alias("id"))
     chosen = mix(docs, **how).groupBy(key(F.col("row_hash"), F.col("doc_id")).alias(mark)).agg(F.sum("copies").alias(whole)).where(F.col(whole) > 0)
     one = docs.withColumn(mark, key(row_hash(docs), docs["doc_id"])).dropDuplicates([mark])  # repeated rows go before the shuffle
-    joined = one.join(chosen, mark).withColumn(mark, F.col(whole)).drop(whole)
+    joined = written(one.join(chosen, mark).withColumn(mark, F.col(whole)).drop(whole))  # read twice below
     few, many = joined.where(F.col(mark) <= CHUNK), joined.where(F.col(mark) > CHUNK)
     times = lambda df, n: df.withColumn(mark, F.explode(F.sequence(F.lit(1).cast("long"), n)))
     chunks = many.withColumn(mark, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col(mark) - 1) / CHUNK)), lambda i: F.least(F.lit(CHUNK).cast("long"), F.col(mark) - i * CHUNK))))
