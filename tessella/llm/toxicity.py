@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,18 @@ class Model:
         return 1 / (1 + np.exp(-(a * odds(np.array([self.vote(*x) for x in near])) + b))), near
 
 
+class Packed:
+    """A model as bytes: the driver passes it on as it came from the task that fitted it, each worker reads it once."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    @cached_property
+    def model(self) -> Model:
+        data, self.data = self.data, b""
+        return pickle.loads(data)
+
+
 def listed(batches):
     """Words and counts of a task's texts, one row for each text."""
     for batch in batches:
@@ -226,7 +239,7 @@ def weighed(labelled: dict[int, int], drawn: dict[int, int]) -> tuple[float, flo
     return inverse[0] / mean, inverse[1] / mean
 
 
-def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPLES) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPLES) -> Packed:
     """A model from labelled rows on which `training` (of doc_id) holds, at most `examples` of each class (by hash, so
     reruns agree).
 
@@ -234,7 +247,7 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
     word's weight is (1 + log count) * IDF * (1 + deviations): IDF is counted over all of docs, deviations (marking) are
     how surely the word tells the classes of the indexed examples apart, 0 for one that doesn't. Votes and base rate are weighed by the inverse of
     each class's sampling rate, so that they follow the ratio of all labels whatever the bound. One task fits the
-    sample; the driver holds the words and vectors of 2 * examples texts at most.
+    sample; the driver holds the words of 2 * examples texts at most, and the model as bytes.
     """
     spark = docs.sparkSession
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(training(F.col("doc_id")))
@@ -255,9 +268,12 @@ def learned(docs: DataFrame, labels: DataFrame, training, examples: int = EXAMPL
     counts = spark.sparkContext.broadcast(df)
     n = docs.count()
     shares = weighed({r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}, {r["toxic"]: r["count"] for r in drawn.groupBy("toxic").count().collect()})
-    # one task fits the bounded sample, so that the driver holds no more than the vectors
+    # one task fits the bounded sample, so that the driver holds no more than its bytes
     made = rows.repartition(1).mapInArrow(lambda batches: fitted(batches, place, counts, n, shares), "model binary").first()
-    return pickle.loads(made["model"]) if made else Model(Index([], np.zeros(0), 1.0, *[np.zeros(0, np.int64)] * 2, np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2), shares, 0.25)
+    place.destroy()
+    counts.destroy()
+    none = Model(Index([], np.zeros(0), 1.0, *[np.zeros(0, np.int64)] * 2, np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2), shares, 0.25)
+    return Packed(made["model"] if made else pickle.dumps(none))
 
 
 def fitted(batches, place, documents, n: int, shares: tuple[float, float]):
@@ -302,11 +318,11 @@ def judged(batches, model):
     """Slices of a task's rows with the scores and nearest examples of their texts."""
     for batch in batches:
         for texts, rows in slices(batch, SLICE_BYTES):
-            yield rows, *model.value.scores(texts)
+            yield rows, *model.value.model.scores(texts)
 
 
 def scored(batches, model):
-    docs = model.value.index.docs
+    docs = model.value.model.index.docs
     for rows, scores, near in judged(batches, model):
         evidence = [docs[at[:EVIDENCE]].tolist() for at, _ in near]
         cosines = [c[:EVIDENCE].tolist() for _, c in near]

@@ -88,7 +88,7 @@ def test_scores_against_brute_force(spark, labelled):
     rows, labels = labelled
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     got = {x["doc_id"]: x for x in toxicity.toxicity(docs, marks).collect()}
-    model = toxicity.learned(docs, marks, toxicity.learnable)
+    model = toxicity.learned(docs, marks, toxicity.learnable).model
     texts, truth = dict(rows), dict(labels)
     examples = {int(d): texts[int(d)] for d in model.index.docs}
     assert all(zlib.crc32(str(d).encode()) % 5 for d in examples) and len({*examples.values()}) == len(examples) > 250
@@ -155,7 +155,7 @@ def test_shares_of_votes():
 def test_a_repeated_doc_id_stays_in_the_bound(spark):
     docs = spark.createDataFrame([(1, f"text number {i} here") for i in range(300)] + [(i, f"other {i}") for i in range(2, 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
-    assert len(toxicity.learned(docs, labels, toxicity.learnable, examples=10).index.docs) <= 20
+    assert len(toxicity.learned(docs, labels, toxicity.learnable, examples=10).model.index.docs) <= 20
     assert toxicity.toxicity(docs, labels, examples=10).count() == 358
 
 
